@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, leakage, site_lines, splitting
+from corpusmill.llm import bpe, leakage, near_duplicates, site_lines, splitting, vector_neighbours
 from corpusmill.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.case_pairs(table(spark, folder, "chunks"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, folder, "chunks"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.repeated_lines(
         table(spark, folder, "chunks"), table(spark, folder, "documents")
@@ -20,6 +28,10 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_neighbours.mutual_pairs(table(spark, folder, "chunks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(table(spark, folder, "chunks"))
 
@@ -46,7 +58,9 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_clean, p5_found, p5_pieces, p6_ids, p7_found, p7_items)
+    for f in (
+        p2_found, p2_classes, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_items,
+    )
 }
 
 ORACLE = {

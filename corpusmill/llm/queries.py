@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, leakage, near_duplicates, site_lines, splitting, vector_neighbours
+from corpusmill.llm import bpe, leakage, near_duplicates, site_lines, splitting, truncation, vector_neighbours
 from corpusmill.sources.tables import table
 
 
@@ -56,10 +56,19 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, folder, "documents"))
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.source_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_classes, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_items,
+        p8_found, p8_sources,
     )
 }
 

@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, leakage, near_duplicates, site_lines, splitting, truncation, vector_neighbours
+from corpusmill.llm import (
+    bpe,
+    leakage,
+    near_duplicates,
+    scan_repair,
+    site_lines,
+    splitting,
+    truncation,
+    vector_neighbours,
+)
 from corpusmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.defects(table(spark, folder, "chunks"))
+
+
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.repaired(table(spark, folder, "chunks"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.case_pairs(table(spark, folder, "chunks"))
 
@@ -67,7 +84,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_classes, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_items,
+        p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_items,
         p8_found, p8_sources,
     )
 }

@@ -28,13 +28,25 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     Names match without case, unknown ones are ignored. A missing file or one
     that holds no catalog raises.
     """
-    schema = f"generated_at TIMESTAMP, documents ARRAY<STRUCT<{_as_struct(ENTRY)}>>"
-    held = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
+    whole = spark.read.text(path, wholetext=True).select(
+        lower(F.from_json("value", "map<string,string>")).alias("c")
+    )
+    held = whole.select(
+        F.to_timestamp(F.col("c")["generated_at"]).alias("generated_at"),
+        F.from_json(F.col("c")["documents"], "array<map<string,string>>").alias("documents"),
+    )
     if held.where("documents is not null").isEmpty():
         raise ValueError(f"{path} holds no catalog")
+    entry = F.col("e")
+    columns = []
+    for name, kind in (x.split(" ", 1) for x in ENTRY.split(", ")):
+        value = entry[name]
+        value = F.from_json(value, kind) if kind.startswith("ARRAY") else value.try_cast(kind)
+        columns.append(value.alias(name))
     return held.select("generated_at", F.explode("documents").alias("d")).select(
-        "generated_at", "d.*"
-    )
+        "generated_at", lower(F.col("d")).alias("e")
+    ).select("generated_at", *columns)
 
 
 def _as_struct(ddl: str) -> str:

@@ -431,7 +431,7 @@ def test_limits_and_cuts(spark):
             if k % 2 or not text.rstrip().endswith("."):
                 want.add(k)
         elif k % 50 == 0:
-            text = "An own start of the text. Once the whole queue is empt"
+            text = whole.rstrip(".") + "gh"  # ends inside a word of its own
             want.add(k)
         elif k % 7 == 0:
             text = whole + "\nLike what you read about this page? Pass the word along"

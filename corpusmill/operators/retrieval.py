@@ -169,28 +169,35 @@ def bm25_topk(
                 x = places.setdefault(t["term"], ([], []))
                 x[0].append(at)
                 x[1].append(t["idf"])
-        held_by = {t: (np.array(a), np.array(w)) for t, (a, w) in places.items()}
+        number = {t: k for k, t in enumerate(places)}
+        asking = [np.array(x[0]) for x in places.values()]
+        weight = [np.array(x[1]) for x in places.values()]
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
-            out = np.zeros((len(block), batch.num_rows))
-            for r, row in enumerate(batch.column(1).to_pylist()):
-                dl = len(row)
-                tf: dict[str, int] = {}
-                for t in row:
-                    if t in held_by:
-                        tf[t] = tf.get(t, 0) + 1
-                norm = k1 * (1 - b + b * dl / avgdl)
-                for t, f in tf.items():
-                    at, w = held_by[t]
-                    out[at, r] += w * (f * (k1 + 1) / (f + norm))
-            out = np.round(out, DIGITS)
+            rows = batch.num_rows
+            out = np.zeros((rows, len(block)))
+            held_terms = batch.column(1)
+            dl = held_terms.value_lengths().to_numpy(zero_copy_only=False)
+            coded = held_terms.flatten().dictionary_encode()
+            known = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+            if len(known):
+                term = known[coded.indices.to_numpy()]
+                row = np.repeat(np.arange(rows), dl)
+                key, tf = np.unique((term * rows + row)[term >= 0], return_counts=True)
+                term, row = key // rows, key % rows
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                cuts = np.flatnonzero(np.diff(term)) + 1
+                # one update per term: its rows times the queries that ask for it
+                for r, p, t in zip(np.split(row, cuts), np.split(part, cuts), term[np.r_[0, cuts]] if len(term) else ()):
+                    out[r[:, None], asking[t][None, :]] += p[:, None] * weight[t][None, :]
+            out = np.round(out.T, DIGITS)
             out[out <= 0] = -np.inf
             return _masked(out, batch, block, 2)
 
         return score
 
     leaves = held.where("chunk_kind = 'leaf'").select("id", "tokens", "category", "product")
-    return blocked_search(leaves, weighted, ["query_id", "terms", "category", "product"], scorer, k, 512)
+    return blocked_search(leaves, weighted, ["query_id", "terms", "category", "product"], scorer, k)
 
 
 # ---------------------------------------------------------------- fusion

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 QUERY_BLOCK = 4096
-_ROWS = 2048
+_ROWS = 1024
 HITS = "query_id bigint, chunk_id bigint, score double"
 
 

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from corpusmill.session import materialise
+
 QUERY_BLOCK = 4096
-_ROWS = 1024
+_ROWS = 1024  # rows scored at once
 HITS = "query_id bigint, chunk_id bigint, score double"
 
 
@@ -83,7 +85,9 @@ def search(
     """
     spark = rows.sparkSession
     out: DataFrame | None = None
-    for part in in_blocks(queries, query_columns, block):
+    for number, part in enumerate(in_blocks(queries, query_columns, block)):
+        if number and number % 16 == 0:  # many blocks: keep the plan short
+            out = materialise(out, "hits")
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,25 @@ def build_session(
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per context.
+
+    Functions that run in Python workers are sent by name, so workers must be
+    able to import it wherever they run.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_corpusmill_shipped", False):
+        package = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="corpusmill-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(path))
+        context._corpusmill_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -49,6 +49,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return vector_neighbours.mutual_pairs(table(spark, folder, "chunks"))
 
 
+def _queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated query set: every leaf chunk whose id is divisible by 50."""
+    return table(spark, folder, "chunks").where("chunk_kind = 'leaf' and id % 50 = 0").select("id")
+
+
+def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_neighbours.nearest(table(spark, folder, "chunks"), _queries(spark, folder))
+
+
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_neighbours.recall(table(spark, folder, "chunks"), _queries(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(table(spark, folder, "chunks"))
 
@@ -84,18 +97,21 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_items,
+        p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p4_found, p4_nearest, p4_recall,
+        p5_found, p5_pieces, p6_ids, p7_found, p7_items,
         p8_found, p8_sources,
     )
 }
 
-ORACLE = {
-    "p3_found": r"""
-        with leaf as (
-            select id, document_id, raw_content from chunks where chunk_kind = 'leaf'
-            and id is not null and document_id is not null
+_LEAVES = """
+        leaf as (select * from chunks where chunk_kind = 'leaf' and id is not null
+            qualify row_number() over (partition by id order by created_at desc nulls last) = 1)"""
+_P3 = r"""
+        with base as (
+            select id, document_id, raw_content from chunks where chunk_kind = 'leaf' and id is not null
             qualify row_number() over (partition by id order by created_at desc nulls last,
                 document_id, raw_content) = 1),
+        leaf as (select * from base where document_id is not null),
         src as (
             select id as document_id, min(lower(trim(coalesce(category, ''))) || chr(1)
                 || lower(trim(product))) as source
@@ -118,9 +134,50 @@ ORACLE = {
         hot as (
             select source, k from keyed join src using (document_id) join size using (source)
             where k in (select k from everywhere)
-            group by source, k, n having count(distinct document_id) >= 0.1 * n)
-        select id, cast(line_no as int) as line_no from keyed join src using (document_id)
+            group by source, k, n having count(distinct document_id) >= 0.1 * n)"""
+_VECTORS = _LEAVES + """,
+        vec as (select id, embedding_model as model, embedding::double[] as v from leaf
+            where embedding_model is not null and len(embedding) = 64
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+            and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+_RUNS = _LEAVES + r""",
+        w as (select id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from leaf),
+        g as (select distinct id, unnest(list_transform(range(1, len(w) - 1),
+            lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2])) as g from w where len(w) >= 3),
+        n as (select id, count(*) as n from g group by 1),
+        both as materialized (select a.id as id_a, b.id as id_b, count(*) as c
+            from g a join g b on a.g = b.g and a.id < b.id group by 1, 2),
+        link as materialized (select id_a, id_b from "both" join n x on x.id = id_a
+            join n y on y.id = id_b where 5 * c >= 3 * (x.n + y.n - c)),
+        sym as (select id_a as x, id_b as y from link union all select id_b, id_a from link),
+        reach(x, y) as (select x, y from sym union select r.x, s.y from reach r join sym s on r.y = s.x)"""
+
+ORACLE = {
+    "p2_found": f"with recursive {_RUNS.replace('both as', '"both" as')} "
+    "select x as id_a, y as id_b from reach where x < y",
+    "p4_found": f"""with {_VECTORS},
+        near as (select a, b from (select q.id as a, vec.id as b, list_cosine_similarity(q.v, vec.v) as s
+            from vec q, vec where q.model = vec.model and q.id <> vec.id
+            and list_cosine_similarity(q.v, vec.v) >= 0.9)
+            qualify row_number() over (partition by a order by s desc, b) <= 10)
+        select x.a as id_a, x.b as id_b from near x join near y on x.a = y.b and x.b = y.a where x.a < x.b""",
+    "p4_nearest": f"""with {_VECTORS} select id, neighbour, cast(place as int) as place, similarity from (
+        select *, row_number() over (partition by id order by similarity desc, neighbour) as place from (
+            select q.id, vec.id as neighbour, round(list_cosine_similarity(q.v, vec.v), 6) as similarity
+            from vec q, vec where q.id % 50 = 0 and q.model = vec.model and q.id <> vec.id))
+        where place <= 10""",
+    "p3_found": _P3
+    + """ select id, cast(line_no as int) as line_no from keyed join src using (document_id)
         join hot using (source, k)""",
+    "p3_clean": _P3 + r""",
+        hit as (select distinct id, line_no from keyed join src using (document_id)
+            join hot using (source, k)),
+        kept as (select s.id, coalesce(string_agg(line, chr(10) order by s.line_no)
+                filter (h.id is null), '') as t, count(h.id) as n
+            from split s left join hit h on h.id = s.id and h.line_no = s.line_no group by 1)
+        select b.id, b.document_id, case when b.raw_content is not null then t end as kept_content,
+            cast(coalesce(n, 0) as int) as lines_removed
+        from base b left join kept using (id)""",
     "p5_found": r"""
         select distinct id from chunks where chunk_kind = 'leaf' and id is not null
         and (13 * len(regexp_extract_all(raw_content, '\S+')) + 9) // 10 > 1200""",

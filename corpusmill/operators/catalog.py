@@ -48,26 +48,25 @@ def lookup_sections(chunks: DataFrame, kind: str | None = None) -> DataFrame:
     document and title for one section; the filter reaches the scan.
     """
     held = chunks if kind is None else chunks.where(F.col("chunk_kind") == kind)
-    one = W.partitionBy("document_id", "section_title", "id").orderBy(F.col("created_at").desc_nulls_last())
-    held = (
-        held.where("section_title is not null")
-        .select("id", "document_id", "section_title", "chunk_index", "raw_content",
-                "page_start", "page_end", "created_at")
-        .withColumn("_n", F.row_number().over(one))
-        .where("_n = 1")
-    )
-    piece = F.struct("chunk_index", "id", "raw_content")
-    place = F.struct("chunk_index", "id")
+    # newest delivery first among the rows of an id; one shuffle, by section
+    age = -F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(2**62)))
+    piece = F.struct("chunk_index", "id", age.alias("age"), "raw_content", "page_start", "page_end")
+    every = F.array_sort(F.collect_list(piece))
+    at = lambda k: F.try_element_at("every", k)
+    pieces = F.filter("every", lambda x, k: (k == 0) | (x["id"] != at(k)["id"]))
     return (
-        held.groupBy("document_id", "section_title")
-        .agg(
-            F.count("*").alias("chunk_count"),
-            F.min_by("page_start", place).alias("page_start"),
-            F.max_by("page_end", place).alias("page_end"),
-            F.array_sort(F.collect_list(piece)).alias("pieces"),
+        held.where("section_title is not null")
+        .groupBy("document_id", "section_title")
+        .agg(every.alias("every"))
+        .withColumn("pieces", pieces)
+        .select(
+            "document_id",
+            "section_title",
+            F.size("pieces").cast("bigint").alias("chunk_count"),
+            F.element_at("pieces", 1)["page_start"].alias("page_start"),
+            F.element_at("pieces", -1)["page_end"].alias("page_end"),
+            F.array_join(F.col("pieces.raw_content"), "\n\n").alias("body"),
         )
-        .withColumn("body", F.array_join(F.col("pieces.raw_content"), "\n\n"))
-        .drop("pieces")
     )
 
 

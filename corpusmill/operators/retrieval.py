@@ -145,6 +145,8 @@ def bm25_topk(
     asked = queries.select(
         "query_id", "category", "product", F.array_distinct(tokens(F.col("text"))).alias("terms")
     )
+    # read three times: tokenising once is worth a table, all the more with a stemmer
+    held = materialise(held, "tokens")
     terms = asked.select(F.explode("terms").alias("term")).distinct()
     df = (
         held.select(F.explode(F.array_distinct("tokens")).alias("term"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.analyze import stemmed_tokens
-from corpusmill.functions.query import annotated, query_variants
+from corpusmill.functions.query import OPENINGS, annotated, query_variants
 from corpusmill.operators import catalog, evaluate, ingest, mining, retrieval
 from corpusmill.operators.chunking import ChunkOptions, chunk_documents
 from corpusmill.operators.retrieval import SearchOptions
@@ -366,11 +366,45 @@ def listwise_reorder(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.reorder_listwise(ordered, named).select("query_id", "chunk_id", "position")
 
 
-@query()
+def _stripped_sql(c: str) -> str:
+    """The text without one opening, or null."""
+    opening = "^[ ]*(?:" + "|".join(OPENINGS) + ")"
+    tail = f"trim(substr({c}, 1 + len(regexp_extract(lower({c}), '{opening}'))))"
+    return f"case when regexp_matches(lower({c}), '{opening}') and len({tail}) >= 3 then {tail} end"
+
+
+@query(
+    f"""with {_K}, {_MQ}, v1 as (select query_id, text, case when contains(text, '(') then
+        trim(regexp_replace(regexp_replace(text, '[{chr(92)}s]*[(][^)]*[)]', '', 'g'), '[ ]{{2,}}', ' ', 'g'))
+        else text end as plain from mq),
+    v2 as (select *, {_stripped_sql("plain")} as s1 from v1),
+    v3 as (select *, {_stripped_sql("s1")} as s2 from v2),
+    v4 as (select *, {_stripped_sql("s2")} as s3 from v3)
+    select query_id, list_filter([text, case when plain <> text and plain <> '' then plain end, s1, s2, s3],
+        lambda x: x is not null) as variants from v4"""
+)
 def query_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotated mined queries and their variants."""
-    return mined(spark, folder).select(
-        "query_id", annotated(F.col("text")).alias("text"), query_variants(F.col("text")).alias("variants")
+    """Variants of the mined queries."""
+    return mined(spark, folder).select("query_id", query_variants(F.col("text")).alias("variants"))
+
+
+@query()
+def query_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    return mined(spark, folder).select("query_id", annotated(F.col("text")).alias("text"))
+
+
+@query(
+    _BASE
+    + """ select query_id, count(*) as fused_hits, count(dense_rank) as dense_hits,
+        count(sparse_rank) as sparse_hits, (select count(*) from cut c where c.query_id = f.query_id)
+        as reranked from fused f group by query_id"""
+)
+def search_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, dense, sparse = _sides(spark, folder)
+    dense, sparse = materialise(dense, "dense"), materialise(sparse, "sparse")
+    fused = materialise(retrieval.fuse(dense, sparse), "fused")
+    return retrieval.diagnostics(dense, sparse, fused, SearchOptions()).select(
+        "query_id", "fused_hits", "dense_hits", "sparse_hits", "reranked"
     )
 
 
@@ -416,13 +450,19 @@ def heading_sections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    rf"""select document_id, ordinal, {_TRIM(
-    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), "
-    + "'[*][*]([^*]+)[*][*]', '{1}', 'g'), '[*]([^*]+)[*]', '{1}', 'g'), '_([^_]+)_', '{1}', 'g'), "
-    .replace("{1}", chr(92) + "1") + "'[" + _WS + "]+', ' ', 'g')"
-    )} as cleaned from doc_sections""".replace("{1}", "\\1")
-)
+def _clean_sql(c: str) -> str:
+    for pattern, put in (
+        ("<[^>]+>", ""),
+        (r"[*][*]([^*]+)[*][*]", r"\1"),
+        (r"[*]([^*]+)[*]", r"\1"),
+        ("_([^_]+)_", r"\1"),
+        (f"[{_WS}]+", " "),
+    ):
+        c = f"regexp_replace({c}, '{pattern}', '{put}', 'g')"
+    return _TRIM(c)
+
+
+@query(f"select document_id, ordinal, {_clean_sql('title')} as cleaned from doc_sections")
 def heading_clean(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "doc_sections").select(
         "document_id", "ordinal", text.clean_heading(F.col("title")).alias("cleaned")
@@ -431,14 +471,39 @@ def heading_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     """Section lists in their order; repeated records once."""
-    rows = table(spark, folder, "doc_sections").dropDuplicates(["document_id", "ordinal"])
+    order = W.partitionBy("document_id", "ordinal").orderBy("title", "page_start", "page_end")
+    rows = (
+        table(spark, folder, "doc_sections")
+        .repartition("document_id")
+        .withColumn("_n", F.row_number().over(order))
+        .where("_n = 1")
+    )
     return (
         rows.groupBy(F.col("document_id").alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("ordinal", "title", "page_start", "page_end"))).alias("listed"))
     )
 
 
-@query()
+@query(
+    f"""with recursive {_SECTIONS},
+    rec as (select distinct on (document_id, ordinal) * from doc_sections
+        order by document_id, ordinal, title, page_start, page_end),
+    listed as (select document_id as id,
+        list(coalesce({_clean_sql("title")}, '') order by ordinal) as titles,
+        list(page_start order by ordinal) as starts, list(page_end order by ordinal) as ends
+        from rec group by 1),
+    fold(id, n, cursor, title, page_start, page_end) as (
+        select id, -1, cast(1 as bigint), cast(null as varchar), cast(null as int), cast(null as int)
+        from (select distinct id from sections)
+        union all
+        select id, n + 1, cursor + pos, title, case when pos > 0 then starts[cursor + pos - 1] end,
+            case when pos > 0 then ends[cursor + pos - 1] end
+        from (select f.id, f.n, f.cursor, s.title, l.starts, l.ends, coalesce(list_position(
+                l.titles[f.cursor:f.cursor + 3], {_clean_sql("s.title")}), 0) as pos
+            from fold f join sections s on s.id = f.id and s.ordinal = f.n + 1
+            left join listed l on l.id = f.id))
+    select id, n as ordinal, title, page_start, page_end from fold where n >= 0"""
+)
 def page_stamp(spark: SparkSession, folder: str) -> DataFrame:
     held = _sectioned(spark, folder).join(_listed(spark, folder), "id", "left")
     return (

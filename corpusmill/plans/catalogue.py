@@ -58,7 +58,10 @@ def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mined(spark: SparkSession, folder: str) -> DataFrame:
-    """Mined queries once, by id, with the vector of their source chunk."""
+    """Mined queries once, by id, with the vector of their source chunk.
+
+    Written as a table: both sides of a search and its judgement read it.
+    """
     rows = table(spark, folder, "mined_queries").groupBy("query_id").agg(
         F.min("query").alias("text"),
         F.min("source_chunk_id").alias("source_chunk_id"),
@@ -68,9 +71,8 @@ def mined(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("source_chunk_id"), "embedding"
     )
     none = F.lit(None).cast("string")
-    return rows.join(vectors, "source_chunk_id", "left").withColumns(
-        {"category": none, "product": none}
-    )
+    asked = rows.join(vectors, "source_chunk_id", "left")
+    return materialise(asked.withColumns({"category": none, "product": none}), "queries")
 
 
 def held_queries(spark: SparkSession, folder: str) -> DataFrame:

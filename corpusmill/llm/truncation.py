@@ -12,10 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from corpusmill.llm.near_duplicates import word_runs
 from corpusmill.session import materialise
 
 #: Lengths on each side that a length is compared with.
@@ -24,8 +26,13 @@ NEIGHBOURS = 50
 FALSE_DISCOVERY = 0.01
 #: Fewest texts that make a limit.
 LEAST_AT_LIMIT = 4
-#: Documents that must hold a line, or an ending phrase, for it to be a set one.
+#: Different texts that must hold a line, or an ending phrase, for it to be a
+#: set one, and their least share: of the texts of one site (category and
+#: product) for a line, of all texts for a phrase.
 REPEATED_IN = 5
+SHARE, PHRASE_SHARE = 0.002, 0.0005
+#: Minimum hashes of a text, and how many equal ones make it a version of others.
+SKETCH, SHARED = 8, 3
 _WORDS = 6
 
 # Signs that close a sentence, what may follow them, signs of a cut.
@@ -39,6 +46,9 @@ _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _NUMBER_LINE = re.compile(r"^\s*[-+]?\d[\d.,]*\s*$")
 _DOTTED = re.compile(r"(?:^|[\s(])(\d+(?:\.\d+)+)\.$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_rng = np.random.default_rng(20240308)
+_A = _rng.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, SKETCH, dtype=np.uint64)
 _KINDS = ("closed", "open", "sign", "maybe")
 
 
@@ -108,40 +118,54 @@ def _plain(line: str, product: str | None) -> list[list[str]]:
     return [x for x in out if len(x) >= _WORDS]
 
 
+def _sketch(text: str) -> list[int]:
+    """Minimum hashes of the word runs of all lines but the last."""
+    s = text.rstrip()
+    runs = word_runs(s[: s.rfind("\n") + 1])
+    if not len(runs):
+        runs = word_runs(s)
+    if not len(runs):
+        return [_key([s])] * SKETCH
+    with np.errstate(over="ignore"):
+        least = (runs[:, None] * _A + _B).min(0)
+    return least.view(np.int64).tolist()
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, rows = [], []
-        texts, products = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        texts, products = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         for k, (text, product) in enumerate(zip(texts, products)):
             if text is None or not text.strip():
                 continue
             kind, last = ending(text)
             tails, holes, phrase = [], set(), None
-            if kind != "closed":
-                for words in _plain(last, product):
-                    tails.append(_key(words))
+            for words in _plain(last, product):
+                tails.append(_key(words))
+                if kind != "closed":
+                    # a cut shortens the last word, so that one is never left out,
+                    # but its letters may stand in another order
                     holes |= {
-                        _key([*words[:j], "\u0002", *words[j + 1 :]]) for j in range(len(words))
+                        _key([*words[:j], "\u0002", *words[j + 1 :]]) for j in range(len(words) - 1)
                     }
+                    holes.add(_key([*words[:-1], "\u0003", *sorted(words[-1])]))
             if kind == "sign":
                 phrase = _key(_LETTERS.findall(_CUT_SIGN.sub("", last).lower())[-3:])
             others = set()
-            for line in text.split("\n"):
-                line = line.rstrip()
-                if line and (line[-1].isalnum() or line[-1] in "*_"):
-                    others.update(map(_key, _plain(line, product)))
+            for line in text.rstrip().split("\n")[:-1]:
+                others.update(map(_key, _plain(line, product)))
             keep.append(k)
             rows.append(
-                (len(text), len(text.encode("utf-8", "surrogatepass")), kind, tails, list(holes), phrase, list(others))
+                (len(text), len(text.encode("utf-8", "surrogatepass")), kind, tails, list(holes), phrase, list(others), _key([text]), _sketch(text))
             )
-        columns = list(zip(*rows)) or [[]] * 7
+        columns = list(zip(*rows)) or [[]] * 9
         at = pa.array(keep, pa.int32())
         longs = pa.list_(pa.int64())
-        kinds = (pa.int64(), pa.int64(), pa.string(), longs, longs, pa.int64(), longs)
+        kinds = (pa.int64(), pa.int64(), pa.string(), longs, longs, pa.int64(), longs, pa.int64(), longs)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at)]
+            [batch.column(k).take(at) for k in range(3)]
             + [pa.array(c, t) for c, t in zip(columns, kinds)],
-            ["doc_id", "source", "chars", "bytes", "kind", "tails", "holes", "phrase", "lines"],
+            ["doc_id", "source", "site", "chars", "bytes", "kind", "tails", "holes", "phrase", "lines", "same", "sketch"],
         )
 
 
@@ -195,22 +219,65 @@ def limits(endings: DataFrame) -> DataFrame:
     )
 
 
+def _set_ones(evidence: DataFrame, sites: DataFrame, share: float) -> DataFrame:
+    """``key`` of what stands in REPEATED_IN different texts of a site and in
+    ``share`` of its texts. ``evidence``: (site, key, same, sketch).
+
+    Exact copies count once. A text that has SHARED minimum hashes in common
+    with c texts of the same key counts 1 / c, so versions of one text count
+    about once however many there are.
+    """
+    texts = evidence.dropDuplicates(["site", "key", "same"])
+    often = (
+        texts.groupBy("site", "key")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= REPEATED_IN)
+        .join(sites, "site")
+        .where(F.col("n") >= share * F.col("total"))
+        .select("site", "key")
+    )
+    places = materialise(
+        texts.join(often, ["site", "key"]).select("site", "key", "same", F.posexplode("sketch").alias("p", "h")),
+        "p8-places",
+    )
+    crowd = places.groupBy("site", "key", "p", "h").agg(F.count("*").alias("c"))
+    crowded = F.sort_array(F.collect_list("c"), asc=False)[SHARED - 1]
+    return (
+        places.join(crowd, ["site", "key", "p", "h"])
+        .groupBy("site", "key", "same")
+        .agg((1.0 / crowded).alias("w"))
+        .groupBy("site", "key")
+        .agg(F.round(F.sum("w"), 6).alias("different"))
+        .where(F.col("different") >= REPEATED_IN)
+        .select("key")
+        .distinct()
+    )
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, cut, at_limit)`` of every text that is not blank.
 
     Null, empty and blank texts are no cases and give no row; a null source is
     a source of its own; repeated rows are judged alike. An open ending is no
-    cut if its line is a set one: it, or it with one word left out, stands in
-    REPEATED_IN documents. A sign at the end is no cut if the phrase before it
-    is a set one and the text does not end at a limit.
+    cut if its line is a set one: it stands complete, that is inside a text or
+    at the end of one at no limit, in many different texts of a site. Off the
+    limits a line also counts as set if one word but the last differs from a
+    set one, or the order of the last one's letters. A sign at the end is no
+    cut if the phrase before it is a set one and the text does not end at a
+    limit.
     """
+    named = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     found = documents.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", "product"
+        "doc_id",
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.concat(named("category"), F.lit("\u0001"), named("product")).alias("site"),
+        "text",
+        "product",
     ).mapInArrow(
         _read,
-        f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, chars bigint, "
-        "bytes bigint, kind string, tails array<bigint>, holes array<bigint>, phrase bigint, "
-        "lines array<bigint>",
+        f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, site string, "
+        "chars bigint, bytes bigint, kind string, tails array<bigint>, holes array<bigint>, "
+        "phrase bigint, lines array<bigint>, same bigint, sketch array<bigint>",
     )
     found = materialise(found, "p8-endings")
     limit = materialise(
@@ -219,24 +286,41 @@ def judged(documents: DataFrame) -> DataFrame:
     chars = limit.where("unit = 'chars'").select("source", F.col("length").alias("chars")).withColumn("lc", F.lit(True))
     octets = limit.where("unit = 'bytes'").select("source", F.col("length").alias("bytes")).withColumn("lb", F.lit(True))
     doubtful = found.where("kind <> 'closed'").drop("lines")
-    often = lambda df, key: (
-        df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED_IN).select(key)
+    sites = found.groupBy("site").agg(F.count_distinct("same").alias("total"))
+    everywhere = found.select(F.lit("").alias("site"), "same").groupBy("site").agg(
+        F.count_distinct("same").alias("total")
+    )
+    off_limits = found.drop("lines").join(chars, ["source", "chars"], "left_anti").join(
+        octets, ["source", "bytes"], "left_anti"
     )
-    set_lines = often(found.select(F.explode("lines").alias("tail")), "tail")
-    tails = doubtful.select("doc_id", F.explode("tails").alias("tail"))
-    by_line = tails.join(set_lines, "tail", "left_semi").select("doc_id")
+    tails = doubtful.select("doc_id", F.explode("tails").alias("key"))
+    evidence = (
+        found.select("site", "same", "sketch", F.explode("lines").alias("key"))
+        .unionByName(
+            off_limits.where("kind <> 'sign'").select("site", "same", "sketch", F.explode("tails").alias("key"))
+        )
+        .join(tails.select("key").distinct(), "key", "left_semi")
+    )
+    set_lines = materialise(_set_ones(evidence, sites, SHARE), "p8-lines")
+    by_line = tails.join(set_lines, "key", "left_semi").select("doc_id").distinct()
     holes = doubtful.select("doc_id", F.explode("holes").alias("hole"))
-    by_hole = holes.join(often(holes, "hole"), "hole", "left_semi").select("doc_id")
-    phrases = doubtful.where("phrase is not null").select("doc_id", "phrase")
-    by_phrase = phrases.join(often(phrases, "phrase"), "phrase", "left_semi").select("doc_id")
-    set_line = by_line.union(by_hole).distinct().withColumn("set_line", F.lit(True))
+    set_holes = holes.join(by_line, "doc_id", "left_semi").select("hole").distinct()
+    by_hole = holes.join(set_holes, "hole", "left_semi").select("doc_id").distinct()
+    phrases = doubtful.where("phrase is not null").select("doc_id", F.col("phrase").alias("key"))
+    said = off_limits.where("phrase is not null").select(
+        F.lit("").alias("site"), "same", "sketch", F.col("phrase").alias("key")
+    )
+    by_phrase = phrases.join(_set_ones(said, everywhere, PHRASE_SHARE), "key", "left_semi").select("doc_id")
+    set_line = by_line.withColumn("set_line", F.lit(True))
+    like_one = by_hole.withColumn("like_one", F.lit(True))
     set_phrase = by_phrase.distinct().withColumn("set_phrase", F.lit(True))
     no = F.lit(False)
     at_limit = F.coalesce("lc", no) | F.coalesce("lb", no)
+    is_set = F.coalesce("set_line", no) | (F.coalesce("like_one", no) & ~at_limit)
     cut = (
-        F.when(F.col("kind") == "open", ~F.coalesce("set_line", no))
+        F.when(F.col("kind") == "open", ~is_set)
         .when(F.col("kind") == "sign", at_limit | ~F.coalesce("set_phrase", no))
-        .when(F.col("kind") == "maybe", at_limit & ~F.coalesce("set_line", no))
+        .when(F.col("kind") == "maybe", at_limit & ~is_set)
         .otherwise(no)
     )
     # only doubtful endings can be cut; closed ones need no join but the limits
@@ -251,6 +335,7 @@ def judged(documents: DataFrame) -> DataFrame:
     rest = (
         seen.where("kind <> 'closed'")
         .join(set_line, "doc_id", "left")
+        .join(like_one, "doc_id", "left")
         .join(set_phrase, "doc_id", "left")
         .select("doc_id", "source", cut.alias("cut"), at_limit.alias("at_limit"))
     )

@@ -447,6 +447,30 @@ def test_limits_and_cuts(spark):
     assert report["capped"].cut_at_limit > 400 and report["free"].cut_at_limit == 0
 
 
+def test_copies_and_versions_do_not_acquit_each_other(spark):
+    rng = random.Random(12)
+    set_line = "\nLike what you read about this page? Pass the word along"
+    base = sentence(rng, 1500).split()
+    texts, want = [], set()
+    for k in range(600):
+        if k % 3 == 0:  # versions of one text, cut at the same place
+            own = list(base)
+            for _ in range(8):
+                own[rng.randrange(len(own))] = "v" * rng.randint(1, 12)
+            text = " ".join(own) + "\nAn own start of the text. Once the whole queue is empt"
+        elif k % 10 == 1:  # exact copies
+            text = "An own start of the text. Once the other queue is empt"
+        elif k % 60 == 2:  # cut inside the set line
+            text = sentence(rng, rng.randint(200, 900)) + set_line[: -2 - k // 60 % 3]
+        else:
+            text = sentence(rng, rng.randint(200, 900)).strip() + (set_line if k % 2 else "")
+        if text.endswith("empt") or k % 60 == 2:
+            want.add(k)
+        texts.append((k, str(k), text, "s", None, None, None))
+    got = {r.doc_id for r in truncation.cut_documents(docs(spark, texts)).collect()}
+    assert got == want
+
+
 def test_truncation_edges(spark, odd_documents):
     got = {r.doc_id for r in truncation.judged(odd_documents).collect()}
     assert got == {3, 4, 5, 6}

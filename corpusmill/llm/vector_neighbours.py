@@ -30,9 +30,6 @@ RADIUS = 38
 SAMPLE = 8192
 #: Models that get rotations of their own, the others share random ones.
 MODELS = 64
-#: Vectors up to which an index key is one substring; beyond, it is two, as a
-#: substring should have about as many bits as the number of vectors has.
-ONE_SUBSTRING = 2**22
 #: The rows of buckets beyond this size are searched exactly instead.
 HOT = 512
 K, LEAST = 10, 0.9
@@ -161,16 +158,14 @@ def _substring(table: int) -> Column:
     return F.shiftrightunsigned(F.col(f"c{r}"), a).bitwiseAND(F.lit((1 << (b - a)) - 1))
 
 
-def _index(own: DataFrame, depth: int) -> DataFrame:
-    """``(key, id, c0, c1)``: one row per substring of each code."""
-    tables = ROTATIONS * PARTS
+def _index(own: DataFrame) -> DataFrame:
+    """``(key, id, c0, c1)``: one row per substring of each code, at every size.
+
+    Wider keys would list fewer pairs but miss more; buckets that grow with
+    the number of vectors are searched exactly instead.
+    """
     keys = F.array(
-        *(
-            F.xxhash64(
-                "model", F.lit(t), *(_substring((t + k * PARTS) % tables) for k in range(depth))
-            )
-            for t in range(tables)
-        )
+        *(F.xxhash64("model", F.lit(t), _substring(t)) for t in range(ROTATIONS * PARTS))
     )
     return own.select("id", "c0", "c1", F.explode(keys).alias("key"))
 
@@ -206,8 +201,7 @@ def similar_pairs(coded: DataFrame, least: float = LEAST, k: int = K + 1) -> Dat
     those buckets and searched exactly against all rows, in blocks, for their
     ``k`` best; nothing is dropped.
     """
-    total = coded.count()
-    index = _index(coded, 1 if total <= ONE_SUBSTRING else 2)
+    index = _index(coded)
     hot = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
     hot = materialise(hot, "p4-hot")
     exact = None

@@ -260,6 +260,18 @@ def test_vector_neighbours_recall(spark):
     assert len(got - want) <= 0.02 * len(want)
 
 
+def test_recall_does_not_depend_on_the_number_of_vectors(spark, monkeypatch):
+    # beyond so many vectors keys once took two substrings
+    monkeypatch.setattr(vector_neighbours, "ONE_SUBSTRING", 0, raising=False)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 64))
+    v = np.concatenate([centres + rng.normal(size=(200, 64)) * 0.18 for _ in range(3)]).astype(np.float32)
+    rows = [chunk(k, "t", embedding=v[k].tolist(), embedding_model="m") for k in range(len(v))]
+    got = {(r.id_a, r.id_b) for r in vector_neighbours.mutual_pairs(frame(spark, rows)).collect()}
+    want = exact_mutual(list(range(len(v))), v.astype(np.float64), ["m"] * len(v), 10, 0.9)
+    assert len(want) > 300 and len(got & want) / len(want) >= 0.95
+
+
 def test_hot_vectors(spark, monkeypatch):
     """A third of all vectors are equal, a third nearly so; buckets are refined."""
     monkeypatch.setattr(vector_neighbours, "HOT", 50)

@@ -263,7 +263,8 @@ class Groups:
     its first, and only those that end up outside the first one's class are
     compared with the other members, so that no connection is lost.
 
-    ``links``: (a, b) of linked representatives. ``members``: (id, rep, class)
+    ``links``: (a, b) of linked representatives, all of them but those inside
+    the classes of large buckets; :meth:`all_links` has these too. ``members``: (id, rep, class)
     of every chunk with a partner.
     """
 
@@ -336,6 +337,10 @@ class Groups:
                 )
                 label = connected_components(links)
         self.links, self.label = links, label
+        self._verify = lambda p: _verified(
+            materialise(_likely(p, short).select("a", "b"), "p2-likely"), chunks, text
+        )
+        self._starred = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         of = label.select(F.col("node").alias("rep"), "component")
         linked = of.select(F.col("rep").alias("id"), "rep", F.col("component").alias("class"))
         held = self.copies.join(of, "rep", "left").select(
@@ -344,6 +349,23 @@ class Groups:
         self.members = linked.unionByName(held).distinct()
 
 
+    def all_links(self) -> DataFrame:
+        """(a, b), a < b, of all linked representatives.
+
+        Linked ones are of one class, so in the classes that a large bucket
+        touches every pair is tested; that cost is quadratic in such a class.
+        """
+        touched = self.label.join(self._starred, "node", "left_semi").select("component").distinct()
+        inside = materialise(self.label.join(touched, "component", "left_semi"), "p2-touched")
+        known = self.links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if inside.isEmpty():
+            return known.distinct()
+        a = inside.select("component", F.col("node").alias("a"))
+        b = inside.select("component", F.col("node").alias("b"))
+        pairs = a.join(b, "component").where("a < b").select("a", "b")
+        return known.union(self._verify(pairs)).distinct()
+
+
 def case_pairs(chunks: DataFrame) -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b: all pairs within a class.
 
@@ -361,7 +383,7 @@ def classes(chunks: DataFrame) -> DataFrame:
     class (its own if it has no partner), and the number of other
     representatives that its own one is directly linked to."""
     found = Groups(chunks)
-    ends = found.links.select(F.explode(F.array("a", "b")).alias("rep"))
+    ends = found.all_links().select(F.explode(F.array("a", "b")).alias("rep"))
     counted = ends.groupBy("rep").agg(F.count("*").alias("links"))
     ids = chunks.where("chunk_kind = 'leaf' and id is not null").select("id").distinct()
     return (

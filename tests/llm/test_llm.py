@@ -194,6 +194,13 @@ def test_stragglers_of_a_star_are_compared(spark, monkeypatch):
     assert got == linked_classes(texts)
 
 
+def test_links_inside_a_star_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "STAR_FROM", 4)
+    rows = [chunk(k, "t", content=" ".join([*(f"b{j}" for j in range(100)), f"x{k}"])) for k in range(12)]
+    got = near_duplicates.classes(frame(spark, rows)).collect()
+    assert {(r.class_id, r.links) for r in got} == {(0, 11)}
+
+
 def test_near_duplicate_edges(spark, odd_chunks):
     got = {(r.id, r.class_id, r.links) for r in near_duplicates.classes(odd_chunks).collect()}
     ids = {k for k in range(len(ODD))} | {50}

@@ -18,11 +18,11 @@ from corpusmill.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_repair.defects(table(spark, folder, "chunks"))
+    return scan_repair.defects(table(spark, folder, "chunks"), table(spark, folder, "documents"))
 
 
 def p1_text(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_repair.repaired(table(spark, folder, "chunks"))
+    return scan_repair.repaired(table(spark, folder, "chunks"), table(spark, folder, "documents"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

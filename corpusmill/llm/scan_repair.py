@@ -1,39 +1,48 @@
 """Repair of text taken from scanned pages.
 
-Running headers are found at page edges by fuzzy repetition of the document's
-running title, page numbers by their form and place, words divided at line
-ends and misread words by the vocabulary of the whole corpus. Repair drops the
-first two, joins the third, corrects the fourth and gives continuous
-paragraphs.
+Running headers and footers are lines at page edges that repeat, letter pairs
+or edit distance permitting some misread ones: the document's title, a line of
+several chunks of one document, or of several documents of one source. Page
+numbers are numbers at a line of their own that fit into the increasing
+sequence of the document's pages. Words divided at line ends are found by the
+vocabulary of the whole corpus, misread ones by confusions that are learned
+from it: what rare words have in the place of a frequent word's letters, where
+it shows evenly over many frequent words. Repair drops the first two, joins
+the third, corrects the fourth and gives continuous paragraphs.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusmill.llm.common import leaf_chunks
+from corpusmill.llm.site_lines import source_name
 from corpusmill.session import materialise
 
-# What is printed, and what recognition makes of it, as rare words of a
-# sample corpus show it; other recognisers may need other pairs.
-CONFUSIONS = (
-    ("e", "c"), ("r", "'"), ("t", "f"), ("s", "5"), ("a", "@"), ("o", "0"), ("i", "1"),
-    ("n", "ri"), ("l", "1"), ("d", "cl"), ("c", "¢"), ("u", "ii"), ("h", "b"), ("m", "rn"),
-    ("g", "9"), ("n", "ii"), ("w", "vv"), ("li", "h"), ("fi", "ﬁ"), ("fl", "ﬂ"),
-)
 #: How much more often the printed word must stand than the misread one.
 RATIO, RATIO_ODD = 20, 2
-#: Fewest occurrences of a printed word that differs in letters only.
-LEAST_PRINTED = 20
+#: Most frequent words of letters only that confusions are learned from.
+LEARN_FROM = 5_000
+#: A confusion shows in EVEN of the places where its rate lets it be expected,
+#: in PLACES of those of the most widespread one, and within RATE of the usual rate.
+EVEN, PLACES, RATE = 0.4, 0.02, 5
 #: Similarity (shared letter pairs) from which a line repeats the title.
 LIKE_TITLE = 0.7
-#: Pages that a section may span where only its first or last one is known.
-SECTION_PAGES = 60
+#: Chunks of one document that hold a line at a page edge for it to be running,
+#: or documents of one source, and their least share of those with page edges.
+IN_CHUNKS, IN_DOCUMENTS, SHARE = 3, 5, 0.1
+#: Share of a running line's letters that may differ.
+DIFFER = 0.3
+#: Chunks of a document whose pages are compared in one window.
+SPAN = 1024
 #: Most frequent words sent to the workers; others are joined.
 COMMON = 50_000
 #: Distinct words counted in a worker before their counts are passed on.
@@ -41,7 +50,7 @@ FLUSH = 300_000
 DIVISION = "-‐‑¬­"
 _TRIM = ".,;:!?()[]{}`*\"<>|~«»„“”’‘'=+_/\\"
 _PIECE = re.compile(r"[-/‐‑]")
-_ODD = re.compile(r"[^\W\d_][@¢0159ﬁﬂ][^\W\d_]|^[@¢0159ﬁﬂ][^\W\d_]{2}|[^\W\d_]{2}[@¢0159ﬁﬂ]$|[@¢ﬁﬂ]")
+_ODD = re.compile(r"[^\W\d_][^\w'\-][^\W\d_]|[^\W\d_]\d[^\W\d_]|^\d[^\W\d_]{2}|[^\W\d_]{2}\d$|[¢@ﬀ-ﬆ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIVIDED = re.compile(rf"([^\W\d_]+(?:[-'][^\W\d_]+)*)([{DIVISION}])\s*$")
 _GOES_ON = re.compile(r"^\s*([^\W\d_]+(?:[-'][^\W\d_]+)*)")
@@ -68,6 +77,7 @@ class Layout:
     def __init__(self, text: str, title: str, first: int | None, last: int | None):
         self.lines = text.split("\n")
         self.kinds = ["text"] * len(self.lines)
+        self.numbers: dict[int, int] = {}
         plain = _letters(title)
         pairs, size = _pairs(plain), len(plain)
         named = [w for w in plain.split() if len(w) > 2]
@@ -85,7 +95,7 @@ class Layout:
                 self.kinds[k] = "blank"
             elif bare.startswith("|"):
                 self.kinds[k] = "table"
-            elif len(bare) <= 40 and self._is_page(k, first, last):
+            elif self._is_page(k, first, last):
                 self.kinds[k] = "page_number"
             elif size >= 4 and 0.6 * size <= len(bare) <= 2 * size + 24 and bare[0] != "#":
                 lower = bare.lower()
@@ -96,6 +106,27 @@ class Layout:
                     common = sum((_pairs(own) & pairs).values())
                     if 2 * common >= LIKE_TITLE * (len(own) + size - 2):
                         self.kinds[k] = "header"
+        if first is not None and last is not None:
+            self._in_sequence()
+
+    def _in_sequence(self) -> None:
+        """Of the chunk's page numbers, only those of its longest rising sequence."""
+        at = [k for k, kind in enumerate(self.kinds) if kind == "page_number"]
+        if len(at) < 2:
+            return
+        ends: list[int] = []  # least last number of a sequence of each length
+        length = []
+        for k in at:
+            n = self.numbers[k]
+            x = bisect_left(ends, n + 1)
+            ends[x:] = [n, *ends[x + 1 :]]
+            length.append(x + 1)
+        want, above = len(ends), float("inf")
+        for k, x in zip(reversed(at), reversed(length)):
+            if x == want and self.numbers[k] <= above:
+                want, above = want - 1, self.numbers[k]
+            else:
+                self.kinds[k] = "text"
 
     def _is_page(self, k: int, first: int | None, last: int | None) -> bool:
         line = self.lines[k]
@@ -106,11 +137,7 @@ class Layout:
         decorated = bool(m["w"] or m["a"].strip() or m["z"].strip()) or len(m["a"]) >= 3
         if first is not None and n < first - 1 or last is not None and n > last + 1:
             return False
-        # with one bound only, the other is as far as a section may reach
-        if first is None and last is not None and n < last - SECTION_PAGES:
-            return False
-        if last is None and first is not None and n > first + SECTION_PAGES:
-            return False
+        self.numbers[k] = n
         if decorated:
             return True
         # a bare number: not one of a list of numbers, and not the end of a sentence
@@ -120,6 +147,24 @@ class Layout:
         before = next((self.lines[x].strip() for x in range(k - 1, -1, -1) if self.lines[x].strip()), "")
         return 0 < k < len(self.lines) - 1 and not before.endswith(":")
 
+    def edges(self) -> Iterator[tuple[int, str]]:
+        """(line, its letters) of text lines at a page's edge: next to a page
+        number or a header, or breaking into a sentence."""
+        held = [k for k, kind in enumerate(self.kinds) if kind != "blank"]
+        for before, k, after in zip(held, held[1:], held[2:]):
+            if self.kinds[k] != "text":
+                continue
+            around = {self.kinds[before], self.kinds[after]}
+            if around.isdisjoint(("page_number", "header")):
+                if around != {"text"} or not (before < k - 1 and after > k + 1):
+                    continue
+                ends, goes_on = self.lines[before].rstrip()[-1], self.lines[after].lstrip()[0]
+                if not (ends.isalnum() or ends in f",{DIVISION}") or not goes_on.islower():
+                    continue
+            letters = _letters(self.lines[k])
+            if len(letters) >= 4:
+                yield k, letters
+
     def divided(self) -> list[tuple[int, int, str, str, str]]:
         """(line, next line, first part, mark, second part) of words that a
         line's end divides; layout lines and blank ones between are skipped."""
@@ -169,15 +214,100 @@ def words_of(token: str) -> tuple[str, ...]:
     )
 
 
-def printed_forms(word: str) -> Iterator[str]:
+def printed_forms(word: str, confusions: list[tuple[str, str]]) -> Iterator[str]:
     """What ``word`` may have been before one misrecognition."""
-    for printed, seen in CONFUSIONS:
+    for printed, seen in confusions:
         at = word.find(seen)
         while at >= 0:
             yield word[:at] + printed + word[at + len(seen) :]
             at = word.find(seen, at + 1)
 
 
+def _pieces(word: str) -> Iterator[tuple[int, str]]:
+    """Every one or two consecutive characters, with their place."""
+    for size in (1, 2):
+        for at in range(len(word) - size + 1):
+            yield at, word[at : at + size]
+
+
+def _shown(frequent: Mapping[str, int]):
+    """Where words of the vocabulary differ from a frequent one in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[tuple[str, str], list] = defaultdict(list)
+        for w, m in frequent.items():
+            for at, printed in _pieces(w):
+                open_[w[:at], w[at + len(printed) :]].append((w, printed, m))
+        for batch in batches:
+            rows = []
+            for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for at, seen in _pieces(x):
+                    for w, printed, m in open_.get((x[:at], x[at + len(seen) :]), ()):
+                        # two for two, and what adds or drops a letter, are typing slips
+                        both = len(seen) + len(printed)
+                        if both > 3 or m < RATIO * n or seen in printed or printed in seen:
+                            continue
+                        rows.append((printed, seen, w, at, n))
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["printed", "seen", "word", "place", "n"]
+            )
+
+    return run
+
+
+def confusions(vocabulary: DataFrame) -> list[tuple[str, str]]:
+    """(printed, seen): what recognition makes of one or two letters.
+
+    ``vocabulary``: word, n, of the whole corpus. Recognition misreads a letter
+    at much the same rate wherever it stands, so a confusion shows in about as
+    many places of the frequent words as that rate makes likely; what sets two
+    words apart by chance or by grammar shows in few places, however often.
+    Collected are LEARN_FROM words and a table of pairs of the alphabet.
+    """
+    top = (
+        vocabulary.where(F.expr(r"word rlike '^\\p{L}+$'"))
+        .orderBy(F.desc("n"), "word")
+        .limit(LEARN_FROM)
+    )
+    frequent = {r["word"]: r["n"] for r in top.collect()}
+    places: dict[str, list[int]] = defaultdict(list)
+    for w, m in frequent.items():
+        for _, printed in _pieces(w):
+            if m >= RATIO:
+                places[printed].append(m)
+    shown = (
+        vocabulary.mapInArrow(
+            _shown(frequent), "printed string, seen string, word string, place int, n bigint"
+        )
+        .groupBy("printed", "seen", "word", "place")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("printed", "seen")
+        .agg(F.count("*").alias("places"), F.sum("n").alias("n"))
+    )
+    most = shown.agg(F.max("places").alias("most"))
+    # one place proves nothing where others show in ten
+    least = F.greatest(F.col("most") * PLACES, F.least(F.lit(2.0), F.col("most") / 5))
+    rows = shown.crossJoin(F.broadcast(most)).where(F.col("places") >= least).collect()
+    even = []
+    for r in rows:
+        rate = r["n"] / sum(places[r["printed"]])
+        likely = sum(1 - math.exp(-rate * m) for m in places[r["printed"]])
+        if r["places"] >= EVEN * likely:
+            even.append((rate, r["places"], r["printed"], r["seen"]))
+    even.sort(reverse=True)
+    usual, seen_at = 0.0, 0
+    for rate, count, *_ in even:
+        seen_at += count
+        usual = rate
+        if 2 * seen_at >= sum(e[1] for e in even):
+            break
+    # what is no letter needs less: it has no place inside a word
+    least = lambda seen: usual / RATE * (1 if seen.isalpha() else 0.25)
+    return sorted((p, s) for rate, _, p, s in even if least(s) <= rate <= usual * RATE)
+
+
 def _title(content: str | None, raw: str | None) -> str:
     """The document title, from the prefix of the chunk's content."""
     if not content or raw is None or not content.endswith(raw):
@@ -216,34 +346,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            odd = bool(_ODD.search(word))
-            once = set(printed_forms(word))
-            forms = {(c, 1) for c in once}
-            if odd:  # a second misread letter only where the first is beyond doubt
-                forms |= {(c, 2) for f in once for c in printed_forms(f) if c not in once}
-            rows.extend((word, n, odd, c, step) for c, step in forms if len(c) >= 2)
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "odd", "printed", "step"]
-        )
+def _forms(known: list[tuple[str, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                odd = bool(_ODD.search(word))
+                once = set(printed_forms(word, known))
+                forms = {(c, 1) for c in once}
+                if odd:  # a second misread letter only where the first is beyond doubt
+                    forms |= {(c, 2) for f in once for c in printed_forms(f, known) if c not in once}
+                rows.extend((word, n, odd, c, step) for c, step in forms if len(c) >= 2)
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "odd", "printed", "step"]
+            )
+
+    return run
+
+
+def _bands(letters: str) -> list[int]:
+    """Keys of which lines with most letter triples in common share one."""
+    triples = {letters[k : k + 3] for k in range(max(1, len(letters) - 2))}
+    out = []
+    for band in range(6):
+        least = [min(xxhash.xxh32_intdigest(t, 2 * band + k) for t in triples) for k in (0, 1)]
+        out.append((least[0] << 31) ^ least[1] ^ band)
+    return out
 
 
 class Defects:
     """Defects of all leaf chunks.
 
-    Null and empty texts have none; a chunk without title prefix has no
-    header; null pages leave page numbers to their form; re-delivered chunks
-    count once; an empty table gives none. The vocabulary counts every word of
-    every leaf chunk. What is sent to the workers is at most COMMON words;
-    words beyond these are joined.
+    Null and empty texts have none; a chunk without title prefix has only
+    headers that repeat elsewhere; where pages are null, page numbers must fit
+    between those of the chunks before and after; re-delivered chunks count
+    once; an empty table gives none. The vocabulary counts every word of every
+    leaf chunk. What is sent to the workers is at most COMMON words; words
+    beyond these are joined. Without ``documents`` (id, category, product)
+    running lines are sought within each document only.
     """
 
-    def __init__(self, chunks: DataFrame):
+    def __init__(self, chunks: DataFrame, documents: DataFrame | None = None):
         narrow = chunks.where("chunk_kind = 'leaf' and id is not null")
         if "created_at" not in narrow.columns:
             narrow = narrow.withColumn("created_at", F.lit(None).cast("timestamp"))
@@ -254,8 +399,12 @@ class Defects:
         title = F.regexp_extract(head, r"(?s)^\s*(.*?)(?: > (?:(?! > ).)*)?\s*$", 1)
         narrow = narrow.withColumn("title", F.coalesce(title, F.lit("")))
         self.leaves = materialise(
-            leaf_chunks(narrow, "raw_content", "title", "page_start", "page_end"), "p1-leaves"
+            leaf_chunks(
+                narrow, "raw_content", "title", "page_start", "page_end", "document_id", "chunk_index"
+            ),
+            "p1-leaves",
         )
+        self.documents = documents
         self.vocabulary = materialise(
             self.leaves.mapInArrow(_count, "word string, n bigint")
             .groupBy("word")
@@ -264,14 +413,16 @@ class Defects:
         )
         self.misread = materialise(self._misread(), "p1-misread")
         self.lines = materialise(self._lines(), "p1-lines")
+        self.layout = materialise(self._layout(), "p1-layout")
 
     def _misread(self) -> DataFrame:
         """``(word, printed)`` of the words that are misread forms."""
         forms = self.vocabulary.mapInArrow(
-            _forms, "word string, n bigint, odd boolean, printed string, step int"
+            _forms(confusions(self.vocabulary)),
+            "word string, n bigint, odd boolean, printed string, step int",
         )
         known = self.vocabulary.select(F.col("word").alias("printed"), F.col("n").alias("m"))
-        plain = ~F.col("odd") & (F.col("m") >= F.greatest(F.col("n") * RATIO, F.lit(LEAST_PRINTED)))
+        plain = ~F.col("odd") & (F.col("m") >= F.col("n") * RATIO)
         shown = F.col("odd") & (F.col("m") >= F.col("n") * RATIO_ODD)
         best = F.max_by("printed", F.struct(-F.col("step"), F.col("m"), "printed"))
         return (
@@ -281,6 +432,117 @@ class Defects:
             .agg(best.alias("printed"))
         )
 
+    def _layout(self) -> DataFrame:
+        """``(id, line_no, kind)`` of headers, footers and page numbers."""
+        titles = self.lines.where("kind = 'header'").select("id", "line_no", "kind")
+        return titles.unionByName(self._page_numbers()).unionByName(self._running())
+
+    def _page_numbers(self) -> DataFrame:
+        """Numbers that fit into the sequence of their document's pages.
+
+        Chunks with both pages known were judged by these. Else the pages of
+        the nearest chunks before and after bound the number, and of its
+        neighbours among the numbers one at least must be in order with it. Windows run over SPAN chunks
+        and over one row for each SPAN, never over a whole long document.
+        """
+        rows = self.lines.where("kind = 'page_number'").select("id", "line_no", "kind", "n")
+        place = self.leaves.select("id", "document_id", "chunk_index", "page_start", "page_end")
+        unsure = place.where("page_start is null or page_end is null").select("id", "document_id")
+        known = rows.join(unsure.select("id"), "id", "left_anti").select("id", "line_no", "kind")
+        asked = rows.join(unsure, "id").select("document_id").distinct()
+        near = place.join(asked, "document_id", "left_semi").withColumn(
+            "span", F.floor(F.coalesce("chunk_index", F.lit(0)) / SPAN)
+        )
+        own = W.partitionBy("document_id", "span").orderBy("chunk_index", "id")
+        before = own.rowsBetween(W.unboundedPreceding, -1)
+        after = own.rowsBetween(1, W.unboundedFollowing)
+        first, last = F.coalesce("page_start", "page_end"), F.coalesce("page_end", "page_start")
+        spans = near.groupBy("document_id", "span").agg(F.max(first).alias("low"), F.min(last).alias("high"))
+        order = W.partitionBy("document_id").orderBy("span")
+        spans = spans.select(
+            "document_id",
+            "span",
+            F.max("low").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("span_low"),
+            F.min("high").over(order.rowsBetween(1, W.unboundedFollowing)).alias("span_high"),
+        )
+        bounds = (
+            near.withColumns({"low": F.max(first).over(before), "high": F.min(last).over(after)})
+            .join(spans, ["document_id", "span"])
+            .select(
+                "id",
+                "document_id",
+                "span",
+                "chunk_index",
+                F.coalesce("page_start", "low", "span_low").alias("low"),
+                F.coalesce("page_end", "high", "span_high").alias("high"),
+            )
+        )
+        order = W.partitionBy("document_id", "span").orderBy("chunk_index", "id", "line_no")
+        rising = F.coalesce(F.lag("n").over(order) <= F.col("n"), F.lit(True)) | F.coalesce(
+            F.lead("n").over(order) >= F.col("n"), F.lit(True)
+        )
+        fits = F.coalesce(F.col("n") >= F.col("low") - 1, F.lit(True)) & F.coalesce(
+            F.col("n") <= F.col("high") + 1, F.lit(True)
+        )
+        placed = rows.join(unsure.select("id"), "id").join(bounds, "id")
+        placed = placed.where(fits).withColumn("rising", rising).where("rising")
+        alone = rows.join(unsure.where("document_id is null").select("id"), "id")
+        return known.unionByName(placed.select("id", "line_no", "kind")).unionByName(
+            alone.select("id", "line_no", "kind")
+        )
+
+    def _running(self) -> DataFrame:
+        """Lines at page edges that repeat in a document or a source.
+
+        Lines with a band of letter triples in common are counted together and
+        each is compared with one of them, so a group is never gathered.
+        """
+        at = self.lines.where("kind = 'edge'").select("id", "line_no", F.col("word").alias("letters"), "bands")
+        place = self.leaves.select("id", "document_id").where("document_id is not null")
+        at = materialise(at.join(place, "id"), "p1-edges")
+        found = self._repeated(
+            at.withColumns({"scope": F.col("document_id"), "member": F.col("id").cast("string")}),
+            lambda members: members >= IN_CHUNKS,
+        )
+        if self.documents is not None:
+            sources = (
+                self.documents.select(
+                    F.col("id").alias("document_id"),
+                    source_name(F.col("category"), F.col("product")).alias("scope"),
+                )
+                .where("document_id is not null and scope is not null")
+                .groupBy("document_id")
+                .agg(F.min("scope").alias("scope"))
+            )
+            of = at.join(sources, "document_id").withColumn("member", F.col("document_id"))
+            total = of.groupBy("scope").agg(F.count_distinct("member").alias("total"))
+            enough = lambda m: (m >= IN_DOCUMENTS) & (m >= SHARE * F.col("total"))
+            found = found.unionByName(self._repeated(of.join(total, "scope"), enough))
+        return found.distinct().withColumn("kind", F.lit("header"))
+
+    @staticmethod
+    def _repeated(at: DataFrame, enough) -> DataFrame:
+        """``(id, line_no)``; ``at`` also has scope, member, letters and bands."""
+        total = ["total"] if "total" in at.columns else []
+        keyed = at.select("scope", *total, "member", "id", "line_no", "letters", F.explode("bands").alias("band"))
+        group = ["scope", *total, "band"]
+        lead = (
+            keyed.groupBy(*group)
+            .agg(F.min("letters").alias("lead"), F.count_distinct("member").alias("members"))
+            .where(enough(F.col("members")))
+            .drop("members")
+        )
+        most = (F.greatest(F.length("letters"), F.length("lead")) * DIFFER).cast("int")
+        alike = keyed.join(lead, group).where(F.levenshtein("letters", "lead") <= most)
+        alike = alike.select("scope", *total, "lead", "member", "id", "line_no").distinct()
+        counted = (
+            alike.groupBy("scope", *total, "lead")
+            .agg(F.count_distinct("member").alias("members"))
+            .where(enough(F.col("members")))
+            .select("scope", "lead")
+        )
+        return alike.join(counted, ["scope", "lead"]).select("id", "line_no")
+
     def _lines(self) -> DataFrame:
         """Defects that the layout shows, and candidates for the others."""
         top = (
@@ -302,12 +564,14 @@ class Defects:
                 for id_, layout in _layouts(batch):
                     for k, kind in enumerate(layout.kinds):
                         if kind in ("header", "page_number"):
-                            rows.append((id_, k + 1, kind, None, None, None, None, None))
+                            rows.append((id_, k + 1, kind, None, None, None, None, None, layout.numbers.get(k), None))
+                    for k, letters in layout.edges():
+                        rows.append((id_, k + 1, "edge", letters, None, None, None, None, None, _bands(letters)))
                     divided = layout.divided()
                     for k, j, a, mark, b in divided:
                         a_last, b_first = _PIECE.split(a)[-1].lower(), _PIECE.split(b)[0].lower()
                         rows.append(
-                            (id_, k + 1, "divided", a_last + b_first, a_last, b_first, mark, j + 1)
+                            (id_, k + 1, "divided", a_last + b_first, a_last, b_first, mark, j + 1, None, None)
                         )
                     for k, tokens in layout.tokens(divided):
                         unknown = set()
@@ -319,18 +583,18 @@ class Defects:
                             if rare:
                                 unknown.update(rare)
                         for w in unknown:
-                            rows.append((id_, k + 1, "word", w, None, None, None, None))
-                columns = list(zip(*rows)) or [[]] * 8
-                kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5, pa.int32()]
+                            rows.append((id_, k + 1, "word", w, None, None, None, None, None, None))
+                columns = list(zip(*rows)) or [[]] * 10
+                kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5, pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
-                    ["id", "line_no", "kind", "word", "a", "b", "mark", "next_no"],
+                    ["id", "line_no", "kind", "word", "a", "b", "mark", "next_no", "n", "bands"],
                 )
 
         return self.leaves.mapInArrow(
             run,
             "id bigint, line_no int, kind string, word string, a string, b string, mark string, "
-            "next_no int",
+            "next_no int, n bigint, bands array<bigint>",
         )
 
     def divided(self) -> DataFrame:
@@ -399,21 +663,21 @@ class Defects:
             self.lines.where("kind = 'word'")
             .select("id", "line_no", "word")
             .join(self.misread, "word")
+            .join(self.layout.where("kind = 'header'"), ["id", "line_no"], "left_anti")
         )
 
     def found(self) -> DataFrame:
-        layout = self.lines.where("kind in ('header', 'page_number')")
         return (
-            layout.select("id", "line_no", F.col("kind").alias("defect"))
+            self.layout.select("id", "line_no", F.col("kind").alias("defect"))
             .unionByName(self.divided().select("id", "line_no", F.lit("hyphen").alias("defect")))
             .unionByName(self.words().select("id", "line_no", F.lit("misread").alias("defect")))
             .distinct()
         )
 
 
-def defects(chunks: DataFrame) -> DataFrame:
+def defects(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """``(id, line_no, defect)``, line_no from 1, blank lines counted."""
-    return Defects(chunks).found()
+    return Defects(chunks, documents).found()
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,16 +757,15 @@ def _replace(line: str, word: str, printed: str) -> str:
     return re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", put, line, flags=re.I)
 
 
-def repaired(chunks: DataFrame) -> DataFrame:
+def repaired(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """``(id, text, defects)`` of every leaf chunk, in continuous paragraphs.
 
     Lists, tables and command blocks keep their lines' order; a null text
     stays null.
     """
-    found = Defects(chunks)
-    layout = found.lines.where("kind in ('header', 'page_number')")
+    found = Defects(chunks, documents)
     per_id = lambda df, value, name: df.groupBy("id").agg(F.collect_set(value).alias(name))
-    dropped = per_id(layout, "line_no", "dropped")
+    dropped = per_id(found.layout, "line_no", "dropped")
     joined = per_id(found.divided(), "line_no", "joined")
     fixes = per_id(found.words(), F.struct("line_no", "word", "printed"), "fixes")
     all_of = (

@@ -108,6 +108,55 @@ def test_swapped_letters_are_no_misreading(spark):
     assert scan_repair.defects(frame(spark, rows)).count() == 0
 
 
+def test_running_lines_of_a_document_and_of_a_source(spark):
+    foot = "CONFIDENTIAL AND PROPRIETARY - DO NOT COPY"
+    note = "Draft of the committee, not for release"
+    rows = []
+    for k in range(120):  # forty documents of three chunks, the foot misread in some
+        seen = foot.replace("PROPRIETARY", "PR0PRIETARY") if k % 5 == 0 else foot
+        lines = [f"Sentence {k} goes on", seen, str(10 + k % 3), "and ends here."]
+        rows.append(chunk(k, "\n".join(lines), doc=f"d{k // 3}", page_start=10 + k % 3, page_end=11 + k % 3))
+    for k in range(30):  # once in each document of a source
+        lines = [f"Text {'abcdefghij'[k % 10] * 4} of its own goes", "", note, "", "on with more words."]
+        rows.append(chunk(200 + k, "\n".join(lines), doc=f"e{k}"))
+    documents = docs(spark, [(k, f"e{k}", None, "s", "toi", " Edge" if k % 2 else "EDGE ", None) for k in range(30)])
+    chunks = frame(spark, rows, clash=True)
+    headers = lambda df: {(r.id, r.line_no) for r in df.where("defect = 'header'").collect()}
+    own = {(k, 2) for k in range(120)}
+    assert headers(scan_repair.defects(chunks)) == own
+    assert headers(scan_repair.defects(chunks, documents)) == own | {(200 + k, 3) for k in range(30)}
+    numbers = scan_repair.defects(chunks).where("defect = 'page_number'")
+    assert {(r.id, r.line_no) for r in numbers.collect()} == {(k, 3) for k in range(120)}
+
+
+def test_page_numbers_follow_the_sequence_of_a_document(spark, monkeypatch):
+    monkeypatch.setattr(scan_repair, "SPAN", 2)
+    body = lambda *n: "\n".join(x for k in n for x in ("so it goes", f"- {k} -", "and ends"))
+    known = {0: (5, 6), 3: (200, 201), 7: (400, 401)}
+    numbers = {1: (90,), 2: (120, 3), 4: (300, 302), 5: (500,), 6: (399,)}
+    rows = [chunk(k, body(*n)) for k, n in numbers.items()]
+    rows += [chunk(k, "text", page_start=a, page_end=b) for k, (a, b) in known.items()]
+    rows.append(chunk(50, body(10, 12, 11, 11, 12, 14), doc="e", page_start=10, page_end=12))
+    rows.append(chunk(60, body(7, 2, 1), doc="f"))  # no page is known: 2 is out of order on both sides
+    got = {(r.id, r.line_no) for r in scan_repair.defects(frame(spark, rows)).collect()}
+    # 3 is before the pages of chunk 0, 500 and 14 are beyond those known
+    assert {g for g in got if g[0] < 50} == {(1, 2), (2, 2), (4, 2), (4, 5), (6, 2)}
+    assert {g for g in got if g[0] == 50} == {(50, 2), (50, 8), (50, 11), (50, 14)}
+    assert {g for g in got if g[0] == 60} == {(60, 2), (60, 8)}
+
+
+def test_confusions_are_learned_from_the_corpus(spark):
+    words = ["market", "blanket", "locked", "token", "kernel", "socket", "marker", "packet", "looking", "asking"]
+    rng = random.Random(2)
+    rows = [chunk(k, " ".join(rng.choices(words, k=400))) for k in range(40)]
+    seen = [w.replace("k", "lc") for w in words]  # one that no list of this module names
+    rows += [chunk(100 + k, f"the {w} stands", doc="s") for k, w in enumerate(seen)]
+    rows.append(chunk(200, "the packat stands"))
+    found = scan_repair.Defects(frame(spark, rows))
+    assert scan_repair.confusions(found.vocabulary) == [("k", "lc")]
+    assert {(r.word, r.printed) for r in found.words().collect()} == set(zip(seen, words))
+
+
 def test_scan_edges(spark, odd_chunks):
     assert scan_repair.defects(odd_chunks).count() == 0
     texts = {r.id: r.text for r in scan_repair.repaired(odd_chunks).collect()}

@@ -94,12 +94,16 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.source_report(table(spark, folder, "documents"))
 
 
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.limit_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p4_found, p4_nearest, p4_recall,
         p5_found, p5_pieces, p6_ids, p7_found, p7_items,
-        p8_found, p8_sources,
+        p8_found, p8_sources, p8_limits,
     )
 }
 
@@ -181,6 +185,27 @@ ORACLE = {
     "p5_found": r"""
         select distinct id from chunks where chunk_kind = 'leaf' and id is not null
         and (13 * len(regexp_extract_all(raw_content, '\S+')) + 9) // 10 > 1200""",
+    "p8_limits": r"""
+        with t as (select coalesce(source, '') as source, text from documents
+            where text is not null and not regexp_full_match(text, '[\s\p{Z}\x0B\x1C-\x1F\x85]*')),
+        u as (select source, 'chars' as unit, length(text) as length from t
+            union all select source, 'bytes', strlen(text) from t),
+        c as (select source, unit, length, count(*) as texts from u group by all),
+        w as (select *, coalesce(sum(texts) over (b range between current row and unbounded following), 0) as reached,
+                sum(texts) over (b range between 50 preceding and 50 following) - texts as near,
+                101 * coalesce(sum(texts) over (b range between 51 following and unbounded following), 0)
+                    + sum(texts * length) over (b range between 50 preceding and 50 following)
+                    - (length - 51) * sum(texts) over (b range between 50 preceding and 50 following)
+                    - greatest(51 - length, 0) * sum(texts) over (partition by source, unit) as passed
+            from c window b as (partition by source, unit order by length)),
+        e as (select *, reached * (near + 1.0)::double / greatest(passed - reached, 1) as expected from w),
+        p as (select *, case when texts > expected
+                then texts - expected - texts * ln(texts / expected) else 0.0 end as log_p from e),
+        h as (select floor(log_p / 0.25) as bin, count(*) as n, max(log_p) as upper from p group by 1),
+        r as (select upper, sum(n) over (order by bin) as rank, sum(n) over () as m from h),
+        best as (select max(upper) as most from r where upper <= ln(0.01 * rank / m))
+        select source, unit, length::bigint as length, texts, reached::bigint as reached, round(expected, 6) as expected
+        from p, best where log_p <= most""",
     "p7_found": r"""
         with w as (
             select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),

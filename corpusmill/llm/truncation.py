@@ -3,8 +3,10 @@
 The lengths at which texts of a source stop are read as discrete hazards: of
 the texts that reach a length, how many end there. A length whose hazard
 stands out against its neighbours, with the false discoveries over all tested
-lengths controlled, is a limit. A text is cut if its ending is incomplete;
-endings that may be either count as incomplete at a limit only.
+lengths controlled, is a limit. A text with an incomplete ending is cut: by
+the limit if its length is one, in mid-transfer else. Endings that may be
+either, and set lines and phrases that are complete elsewhere, count as
+incomplete at a limit only or at none.
 """
 
 from __future__ import annotations
@@ -17,15 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corpusmill.llm.near_duplicates import word_runs
 from corpusmill.session import materialise
 
 #: Lengths on each side that a length is compared with.
 NEIGHBOURS = 50
 #: Share of false ones allowed among the limits found.
 FALSE_DISCOVERY = 0.01
-#: Fewest texts that make a limit.
-LEAST_AT_LIMIT = 4
 #: Different texts that must hold a line, or an ending phrase, for it to be a
 #: set one, and their least share: of the texts of one site (category and
 #: product) for a line, of all texts for a phrase.
@@ -46,6 +45,8 @@ _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _NUMBER_LINE = re.compile(r"^\s*[-+]?\d[\d.,]*\s*$")
 _DOTTED = re.compile(r"(?:^|[\s(])(\d+(?:\.\d+)+)\.$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?:;。！？\n|]+")
+_DIGITS = re.compile(r"\d+")
 _rng = np.random.default_rng(20240308)
 _A = _rng.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SKETCH, dtype=np.uint64)
@@ -119,15 +120,18 @@ def _plain(line: str, product: str | None) -> list[list[str]]:
 
 
 def _sketch(text: str) -> list[int]:
-    """Minimum hashes of the word runs of all lines but the last."""
+    """Minimum hashes of the sentences of all lines but the last, without digits.
+
+    Versions of one text share most sentences; what differs in a few edits or
+    in its numbers only still agrees in several of the minima.
+    """
     s = text.rstrip()
-    runs = word_runs(s[: s.rfind("\n") + 1])
-    if not len(runs):
-        runs = word_runs(s)
-    if not len(runs):
+    whole = _DIGITS.sub("", s[: s.rfind("\n") + 1] or s)
+    held = {xxhash.xxh64_intdigest(x.strip()) for x in _SENTENCE.split(whole) if x.strip()}
+    if not held:
         return [_key([s])] * SKETCH
     with np.errstate(over="ignore"):
-        least = (runs[:, None] * _A + _B).min(0)
+        least = (np.array(list(held), np.uint64)[:, None] * _A + _B).min(0)
     return least.view(np.int64).tolist()
 
 
@@ -169,15 +173,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def limits(endings: DataFrame) -> DataFrame:
-    """``(source, unit, length, texts, reached, p)`` of lengths that are limits.
-
-    Per source and unit (characters, UTF-8 bytes), counted over all texts: the
-    number that end at a length is tested (Poisson tail, by its Chernoff
-    bound) against what the hazards of the NEIGHBOURS lengths on each side
-    give. Limits are chosen by the Benjamini-Hochberg rule over all lengths of
-    all sources; its ranks come from a histogram of the p-values, so no task
-    sees more than the distinct lengths of one source.
+def hazards(endings: DataFrame) -> DataFrame:
+    """``(source, unit, length, texts, reached, expected, log_p)`` of every length.
+
+    ``endings``: source, chars, bytes of each text. The hazard of a length is
+    the share of the texts reaching it that end there. ``expected`` is what
+    the hazard of the NEIGHBOURS lengths on each side, those at which no text
+    ends included, gives for the texts that reach this length; ``log_p`` bounds
+    the logarithm of the chance of as many ends as there are (Chernoff bound of
+    the Poisson tail). A window sees the distinct lengths of one source.
     """
     cells = (
         endings.select(
@@ -192,16 +196,47 @@ def limits(endings: DataFrame) -> DataFrame:
         .groupBy("source", "c.unit", "c.length")
         .agg(F.count("*").alias("texts"))
     )
-    own = W.partitionBy("source", "unit").orderBy("length")
-    near = own.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    beyond = W.partitionBy("source", "unit").orderBy(F.desc("length"))
-    tested = cells.withColumn("reached", F.sum("texts").over(beyond)).withColumn(
-        "near", F.sum("texts").over(near) - F.col("texts")
+    by_length = W.partitionBy("source", "unit").orderBy("length")
+    near = by_length.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+    here_on = by_length.rangeBetween(0, W.unboundedFollowing)
+    past = by_length.rangeBetween(NEIGHBOURS + 1, W.unboundedFollowing)
+    length, texts = F.col("length"), F.col("texts")
+    width = 2 * NEIGHBOURS + 1
+    # how often texts pass the lengths of the window: those that end beyond it pass all
+    passed = (
+        F.coalesce(F.sum("texts").over(past), F.lit(0)) * width
+        + F.sum(texts * length).over(near)
+        - (length - NEIGHBOURS - 1) * F.sum("texts").over(near)
+        - F.greatest(F.lit(NEIGHBOURS + 1) - length, F.lit(0)) * F.sum("texts").over(W.partitionBy("source", "unit"))
+    )
+    measured = cells.select(
+        "source",
+        "unit",
+        "length",
+        "texts",
+        F.sum("texts").over(here_on).alias("reached"),
+        (F.sum("texts").over(near) - texts).alias("near"),
+        passed.alias("passed"),
     )
-    mean = (F.col("near") + 1.0) / (2 * NEIGHBOURS)
-    d = F.col("texts").cast("double")
-    log_p = F.when(d > mean, d - mean - d * F.log(d / mean)).otherwise(F.lit(0.0))
-    tested = materialise(tested.withColumn("log_p", log_p), "p8-cells")
+    risk = F.greatest(F.col("passed") - F.col("reached"), F.lit(1))
+    mean = F.col("reached") * (F.col("near") + 1.0) / risk
+    d = texts.cast("double")
+    log_p = F.when(d > F.col("expected"), d - F.col("expected") - d * F.log(d / F.col("expected")))
+    return (
+        measured.withColumn("expected", mean)
+        .withColumn("log_p", F.coalesce(log_p, F.lit(0.0)))
+        .select("source", "unit", "length", "texts", "reached", "expected", "log_p")
+    )
+
+
+def limits(endings: DataFrame) -> DataFrame:
+    """:func:`hazards` of the lengths that are limits.
+
+    Limits are chosen by the Benjamini-Hochberg rule over all lengths of all
+    sources, with a share of FALSE_DISCOVERY; its ranks come from a histogram
+    of the p-values, which errs by less than a bin to the safe side.
+    """
+    tested = materialise(hazards(endings), "p8-cells")
     size = 0.25
     total = tested.agg(F.count("*").alias("m"))
     bins = (
@@ -212,11 +247,7 @@ def limits(endings: DataFrame) -> DataFrame:
         .where(F.col("upper") <= F.log(F.lit(FALSE_DISCOVERY) * F.col("rank") / F.col("m")))
         .agg(F.max("upper").alias("most"))
     )
-    return (
-        tested.crossJoin(F.broadcast(bins))
-        .where((F.col("log_p") <= F.col("most")) & (F.col("texts") >= LEAST_AT_LIMIT))
-        .select("source", "unit", "length", "texts", "reached", F.exp("log_p").alias("p"))
-    )
+    return tested.crossJoin(F.broadcast(bins)).where(F.col("log_p") <= F.col("most")).drop("most")
 
 
 def _set_ones(evidence: DataFrame, sites: DataFrame, share: float) -> DataFrame:
@@ -254,18 +285,8 @@ def _set_ones(evidence: DataFrame, sites: DataFrame, share: float) -> DataFrame:
     )
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """``(doc_id, source, cut, at_limit)`` of every text that is not blank.
-
-    Null, empty and blank texts are no cases and give no row; a null source is
-    a source of its own; repeated rows are judged alike. An open ending is no
-    cut if its line is a set one: it stands complete, that is inside a text or
-    at the end of one at no limit, in many different texts of a site. Off the
-    limits a line also counts as set if one word but the last differs from a
-    set one, or the order of the last one's letters. A sign at the end is no
-    cut if the phrase before it is a set one and the text does not end at a
-    limit.
-    """
+def endings(documents: DataFrame) -> DataFrame:
+    """What is read of every text that is not blank, as a written table."""
     named = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     found = documents.select(
         "doc_id",
@@ -279,7 +300,22 @@ def judged(documents: DataFrame) -> DataFrame:
         "chars bigint, bytes bigint, kind string, tails array<bigint>, holes array<bigint>, "
         "phrase bigint, lines array<bigint>, same bigint, sketch array<bigint>",
     )
-    found = materialise(found, "p8-endings")
+    return materialise(found, "p8-endings")
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """``(doc_id, source, cut, at_limit)`` of every text that is not blank.
+
+    Null, empty and blank texts are no cases and give no row; a null source is
+    a source of its own; repeated rows are judged alike. An open ending is no
+    cut if its line is a set one: it stands complete, that is inside a text or
+    at the end of one at no limit, in many different texts of a site. Off the
+    limits a line also counts as set if one word but the last differs from a
+    set one, or the order of the last one's letters. A sign at the end is no
+    cut if the phrase before it is a set one and the text does not end at a
+    limit.
+    """
+    found = endings(documents)
     limit = materialise(
         limits(found).select("source", "unit", "length"), "p8-limits"
     )
@@ -347,8 +383,16 @@ def cut_documents(documents: DataFrame) -> DataFrame:
     return judged(documents).where("cut").select("doc_id").distinct()
 
 
+def limit_report(documents: DataFrame) -> DataFrame:
+    """``(source, unit, length, texts, reached, expected)`` of all limits."""
+    return limits(endings(documents)).select(
+        "source", "unit", "length", "texts", "reached", F.round("expected", 6).alias("expected")
+    )
+
+
 def source_report(documents: DataFrame) -> DataFrame:
-    """Per source: texts, cut ones, those cut at a limit, share of cut ones.
+    """Per source: texts, cut ones, those cut at a limit and those cut in
+    transfer, share of cut ones.
 
     Sources whose texts are all null or blank have no texts and no row.
     """
@@ -359,6 +403,7 @@ def source_report(documents: DataFrame) -> DataFrame:
             F.count("*").alias("texts"),
             F.count_if("cut").alias("cut"),
             F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"),
+            F.count_if(F.col("cut") & ~F.col("at_limit")).alias("cut_in_transfer"),
         )
         .withColumn("share", F.round(F.col("cut") / F.col("texts"), 6))
     )

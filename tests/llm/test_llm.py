@@ -539,6 +539,28 @@ def test_copies_and_versions_do_not_acquit_each_other(spark):
     assert got == want
 
 
+def test_hazards_weigh_the_texts_that_reach_a_length(spark):
+    """Twelve ends at one length are a limit where thousands go on, not where few are left."""
+    rng = random.Random(4)
+    lengths = {"many": [rng.randint(900, 9000) for _ in range(4000)] + [1000] * 12}
+    lengths["few"] = [rng.randint(10, 890) for _ in range(4000)] + [*range(951, 1050)] * 6 + [1000] * 6
+    rows = [(s, n, n) for s, ns in lengths.items() for n in ns]
+    ends = spark.createDataFrame(rows, "source string, chars bigint, bytes bigint")
+    cells = {(r.source, r.length): r for r in truncation.hazards(ends).where("unit = 'chars'").collect()}
+    for source, ns in lengths.items():
+        for at in rng.sample(sorted(set(ns)), 40) + [1000]:
+            around = [x for x in range(max(1, at - truncation.NEIGHBOURS), at + truncation.NEIGHBOURS + 1) if x != at]
+            ended = sum(x in around for x in ns)
+            reached = sum(n >= at for n in ns)
+            risk = sum(n >= x for x in around for n in ns if n >= around[0])
+            got = cells[source, at]
+            assert got.texts == ns.count(at) and got.reached == reached
+            assert got.expected == pytest.approx(reached * (ended + 1) / max(risk, 1))
+    found = {(r.source, r.length) for r in truncation.limits(ends).where("unit = 'chars'").collect()}
+    assert cells["many", 1000].texts <= cells["few", 1000].texts + 2
+    assert ("many", 1000) in found and ("few", 1000) not in found
+
+
 def test_truncation_edges(spark, odd_documents):
     got = {r.doc_id for r in truncation.judged(odd_documents).collect()}
     assert got == {3, 4, 5, 6}

@@ -1,41 +1,72 @@
 """Most similar vectors of every vector, by multi-index hashing.
 
-Per model, ROTATIONS rotations are learned so that the signs of the rotated,
-centred vectors lose little (iterative quantisation of the principal axes).
-The signs form one binary code of ROTATIONS x 64 bits, cut into
-ROTATIONS x PARTS substrings, each with an index of its own. Two codes within
-a Hamming distance below the number of substrings agree in at least one of
-them (pigeonhole), so an equality join of the indexes retrieves all of these,
-and most pairs far beyond. Candidates within RADIUS are reranked on floats.
+Per model, rotations are learned so that the signs of the rotated, centred
+vectors lose little (iterative quantisation of the principal axes). The signs
+of all rotations form one binary code, which is cut into m substrings of s
+bits, each with an index of its own. A substring of a vector is looked up at
+its own key and at all keys that differ in one bit, so by the pigeonhole
+principle every code within a Hamming distance of 2 m - 1 is retrieved.
+Retrieved codes within the radius that belongs to the least similarity are
+reranked on floats.
+
+Nothing in this is set by the data: s is the logarithm of the number of vectors
+over LOAD, so that buckets stay as full as they are, and m is what makes the
+chance that a pair of the least similarity is retrieved by no substring MISS.
+Each bit of such a pair differs with the probability of its angle over pi.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusmill.operators.topk import search
 from corpusmill.session import materialise
 
 DIMENSION = 64
-ROTATIONS, PARTS = 8, 3
-_CUTS = ((0, 21), (21, 42), (42, 64))
-#: Bits of the first two rotations in which a candidate may differ.
-RADIUS = 38
+#: Vectors per key that the length of substrings aims at.
+LOAD = 32
+#: Chance that no substring retrieves a pair of the least similarity.
+MISS = 0.005
+#: Standard deviations of the Hamming distance that candidates are allowed.
+SLACK = 5
 #: Vectors per model that the rotations are learned from; the index has all.
 SAMPLE = 8192
 #: Models that get rotations of their own, the others share random ones.
 MODELS = 64
 #: The rows of buckets beyond this size are searched exactly instead.
-HOT = 512
+HOT = 4096
 K, LEAST = 10, 0.9
+_BLOCK = 1024
 
 
-def learn(vectors: np.ndarray, rotations: int = ROTATIONS) -> tuple[np.ndarray, np.ndarray]:
+class Plan(NamedTuple):
+    """Substring length, number of substrings, rotations, Hamming radius."""
+
+    bits: int
+    tables: int
+    rotations: int
+    radius: int
+
+    @staticmethod
+    def of(vectors: int, least: float) -> "Plan":
+        differ = math.acos(max(min(least, 1 - 1e-9), 0.0)) / math.pi
+        bits = min(max(math.ceil(math.log2(max(vectors, 1) / LOAD)), 4), 32)
+        hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+        tables = math.ceil(math.log(MISS) / math.log(1 - hit))
+        rotations = max(2, math.ceil(tables / (64 // bits)))
+        spread = math.sqrt(128 * differ * (1 - differ))
+        return Plan(bits, tables, rotations, math.floor(128 * differ + SLACK * spread))
+
+
+def learn(vectors: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
     """(mean, matrix of shape (d, rotations * d)) from unit vectors."""
     d = vectors.shape[1] if len(vectors) else DIMENSION
     mean = vectors.mean(0) if len(vectors) else np.zeros(d)
@@ -89,7 +120,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1)
 
 
-def _learned(vectors: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _learned(vectors: DataFrame, rotations: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Rotations of the MODELS largest models, each from SAMPLE vectors.
 
     A hash of the id first keeps about twice as many, so the task that takes
@@ -108,7 +139,7 @@ def _learned(vectors: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.array(pdf["v"].tolist(), np.float64)
         m /= np.sqrt((m * m).sum(1, keepdims=True))
-        mean, turn = learn(m)
+        mean, turn = learn(m, rotations)
         return pd.DataFrame(
             {"model": [pdf["model"].iloc[0]], "mean": [mean.tolist()], "turn": [turn.ravel().tolist()]}
         )
@@ -122,52 +153,161 @@ def _learned(vectors: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     }
 
 
-def _coded(vectors: DataFrame) -> DataFrame:
-    """Adds f1, f2 (identity of the vector) and c0.. (code per rotation)."""
-    learned = vectors.sparkSession.sparkContext.broadcast(_learned(vectors))
-    names = [f"c{r}" for r in range(ROTATIONS)]
+def _coded(vectors: DataFrame, rotations: int) -> DataFrame:
+    """``(id, model, v, code)``: the code has 64 bits per rotation."""
+    learned = vectors.sparkSession.sparkContext.broadcast(_learned(vectors, rotations))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        default = learn(np.zeros((0, DIMENSION)))
+        default = learn(np.zeros((0, DIMENSION)), rotations)
         bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = _matrix(batch.column(2))
-            models = np.array(batch.column(1).to_pylist(), object)
-            codes = np.zeros((len(m), ROTATIONS), np.uint64)
-            for model in set(models.tolist()):
-                own = models == model
+            models = batch.column(1).dictionary_encode()
+            number = models.indices.to_numpy()
+            codes = np.zeros((len(m), rotations), np.uint64)
+            for k, model in enumerate(models.dictionary.to_pylist()):
+                own = number == k
                 mean, turn = learned.value.get(model, default)
-                signs = ((m[own] - mean) @ turn > 0).reshape(-1, ROTATIONS, DIMENSION)
+                signs = ((m[own] - mean) @ turn > 0).reshape(-1, rotations, DIMENSION)
                 codes[own] = (signs * bits).sum(2, dtype=np.uint64)
+            at = pa.array(np.arange(len(m) + 1, dtype=np.int32) * rotations)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2)]
-                + [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in codes.T],
-                ["id", "model", "v", *names],
+                [*batch.columns[:3], pa.ListArray.from_arrays(at, pa.array(codes.reshape(-1).view(np.int64)))],
+                ["id", "model", "v", "code"],
             )
 
-    kinds = "id bigint, model string, v array<float>, " + ", ".join(f"{c} bigint" for c in names)
-    return vectors.mapInArrow(run, kinds).withColumns(
-        {"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(1), "v")}
-    )
+    return vectors.mapInArrow(run, "id bigint, model string, v array<float>, code array<bigint>")
 
 
-def _substring(table: int) -> Column:
-    r, (a, b) = table // PARTS, _CUTS[table % PARTS]
-    return F.shiftrightunsigned(F.col(f"c{r}"), a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _index(own: DataFrame) -> DataFrame:
-    """``(key, id, c0, c1)``: one row per substring of each code, at every size.
+def _index(coded: DataFrame, plan: Plan) -> DataFrame:
+    """``(key, probe, id, c0, c1)``: each substring under its own key, and as a
+    probe under the keys with one of its zero bits set.
 
-    Wider keys would list fewer pairs but miss more; buckets that grow with
-    the number of vectors are searched exactly instead.
+    Of two codes that differ in one bit of a substring, the one that has zero
+    there probes the key of the other, so each such pair meets once.
     """
-    keys = F.array(
-        *(F.xxhash64("model", F.lit(t), _substring(t)) for t in range(ROTATIONS * PARTS))
+    per = 64 // plan.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << plan.bits) - 1)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 8 * _BLOCK):
+                batch = whole.slice(start, 8 * _BLOCK)
+                codes = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, plan.rotations)
+                models = batch.column(1).dictionary_encode()
+                salt = np.array([xxhash.xxh64_intdigest(x) for x in models.dictionary.to_pylist()], np.uint64)
+                salt = salt[models.indices.to_numpy()]
+                keys, rows, probes = [], [], []
+                with np.errstate(over="ignore"):
+                    for table in range(plan.tables):
+                        own = (codes[:, table // per] >> np.uint64(table % per * plan.bits)) & mask
+                        base = _mix(salt + np.uint64(table + 1) * np.uint64(0x9E3779B97F4A7C15))
+                        keys.append(_mix(base ^ own))
+                        rows.append(np.arange(len(own)))
+                        probes.append(np.zeros(len(own), bool))
+                        for bit in range(plan.bits):
+                            zero = np.flatnonzero((own >> np.uint64(bit)) & np.uint64(1) == 0)
+                            keys.append(_mix(base[zero] ^ (own[zero] | np.uint64(1 << bit))))
+                            rows.append(zero)
+                            probes.append(np.ones(len(zero), bool))
+                at = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(np.concatenate(probes)),
+                        batch.column(0).take(pa.array(at)),
+                        *(pa.array(codes[at, k].view(np.int64)) for k in (0, 1)),
+                    ],
+                    ["key", "probe", "id", "c0", "c1"],
+                )
+
+    return coded.select("id", "model", "code").mapInArrow(
+        run, "key bigint, probe boolean, id bigint, c0 bigint, c1 bigint"
     )
-    return own.select("id", "c0", "c1", F.explode(keys).alias("key"))
+
+
+class _Buckets:
+    """Rows sorted by key, own ones first, in; candidate pairs out.
+
+    Holds at most HOT own rows of a bucket; probes pass by in blocks. A bucket
+    with more gives one row ``(key, key, true)`` and no pairs.
+    """
+
+    def __init__(self, radius: int):
+        self.radius, self.key = radius, None
+        self.ids, self.codes, self.hot = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), False
+        self.out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+    def _near(self, ids: np.ndarray, codes: np.ndarray, other: np.ndarray, codes_of: np.ndarray, below: bool) -> None:
+        for i in range(0, len(ids), _BLOCK):
+            a = codes[i : i + _BLOCK]
+            for j in range(i if below else 0, len(other), _BLOCK):
+                b = codes_of[j : j + _BLOCK]
+                d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+                d += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+                x, y = np.nonzero(d <= self.radius)
+                if below:
+                    x, y = x[x + i < y + j], y[x + i < y + j]
+                if len(x):
+                    p, q = ids[i + x], other[j + y]
+                    self.out.append((np.minimum(p, q), np.maximum(p, q), False))
+
+    def add(self, key: int, probe: bool, ids: np.ndarray, codes: np.ndarray) -> None:
+        if key != self.key:
+            self.key, self.hot = key, False
+            self.ids, self.codes = ids[:0], codes[:0]
+        if self.hot:
+            return
+        if probe:
+            if len(self.ids):
+                self._near(ids, codes, self.ids, self.codes, False)
+            return
+        if len(self.ids) + len(ids) > HOT:
+            self.hot = True
+            self.out.append((np.array([key]), np.array([key]), True))
+            return
+        # own rows that were there before meet the new ones, and these one another
+        if len(self.ids):
+            self._near(ids, codes, self.ids, self.codes, False)
+        self._near(ids, codes, ids, codes, True)
+        self.ids, self.codes = np.concatenate([self.ids, ids]), np.concatenate([self.codes, codes])
+
+    def batch(self) -> pa.RecordBatch | None:
+        if not self.out:
+            return None
+        a, b = (np.concatenate([o[k] for o in self.out]) for k in (0, 1))
+        hot = np.repeat([o[2] for o in self.out], [len(o[0]) for o in self.out])
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hot)], ["a", "b", "hot"])
+
+
+def _candidates(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(radius)
+        for batch in batches:
+            key, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            probe = batch.column(1).to_numpy(zero_copy_only=False)
+            codes = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (3, 4)], 1)
+            if not len(key):
+                continue
+            change = (key[1:] != key[:-1]) | (probe[1:] != probe[:-1])
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            for s, e in zip(starts, np.append(starts[1:], len(key))):
+                buckets.add(int(key[s]), bool(probe[s]), ids[s:e], codes[s:e])
+            if (out := buckets.batch()) is not None:
+                yield out
+        if (out := buckets.batch()) is not None:
+            yield out
+
+    return run
 
 
 def _exact(vectors: DataFrame, asked: DataFrame, k: int, least: float, digits: int = 12) -> DataFrame:
@@ -179,12 +319,21 @@ def _exact(vectors: DataFrame, asked: DataFrame, k: int, least: float, digits: i
         q = np.array([r[1] for r in block], np.float64)
         q /= np.sqrt((q * q).sum(1, keepdims=True))
         ids = np.array([r[0] for r in block], np.int64)
-        models = np.array([r[2] for r in block], object)
+        number = {m: n for n, m in enumerate(dict.fromkeys(r[2] for r in block))}
+        models = np.array([number[r[2]] for r in block])
+        place = {r[0]: n for n, r in enumerate(block)}
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
             s = np.round(q @ _matrix(batch.column(1)).T, digits)
-            other = models[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]
-            s[other | (ids[:, None] == batch.column(0).to_numpy()[None, :]) | (s < least)] = -np.inf
+            coded = batch.column(2).dictionary_encode()
+            of = np.array([number.get(m, -1) for m in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+            s[(models[:, None] != of[None, :]) | (s < least)] = -np.inf
+            if len(place) < len(ids):  # an id may be asked for more than once
+                s[ids[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+            else:
+                for at, x in enumerate(batch.column(0).to_pylist()):
+                    if x in place:
+                        s[place[x], at] = -np.inf
             return s
 
         return score
@@ -193,41 +342,35 @@ def _exact(vectors: DataFrame, asked: DataFrame, k: int, least: float, digits: i
     return search(rows, named, ["query_id", "v", "model"], scorer, k)
 
 
-def similar_pairs(coded: DataFrame, least: float = LEAST, k: int = K + 1) -> DataFrame:
+def similar_pairs(coded: DataFrame, plan: Plan, least: float = LEAST, k: int = K + 1) -> DataFrame:
     """``(a, b, similarity)`` of distinct vectors with at least ``least``.
 
     A dense region, even one with a third of all rows, would fill buckets whose
-    pairs no join can list. The rows of buckets beyond HOT are taken out of
-    those buckets and searched exactly against all rows, in blocks, for their
-    ``k`` best; nothing is dropped.
+    pairs no task can list. What meets in a bucket beyond HOT is searched
+    exactly instead, the rows of such buckets among themselves, in blocks, for
+    the ``k`` best of each; nothing is dropped.
     """
-    index = _index(coded)
-    hot = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
-    hot = materialise(hot, "p4-hot")
+    index = _index(coded, plan)
+    found = materialise(
+        index.repartition("key")
+        .sortWithinPartitions("key", "probe")
+        .mapInArrow(_candidates(plan.radius), "a bigint, b bigint, hot boolean")
+        .distinct(),
+        "p4-candidates",
+    )
+    hot = found.where("hot").select(F.col("a").alias("key"))
     exact = None
     if not hot.isEmpty():
-        ids = index.join(hot, "key", "left_semi").select("id").distinct()
+        ids = index.select("key", "id").join(hot, "key", "left_semi").select("id").distinct()
         crowded = materialise(coded.join(ids, "id", "left_semi"), "p4-crowded")
-        exact = _exact(coded, crowded, k, least).select(
+        exact = _exact(crowded, crowded, k, least).select(
             F.least("query_id", "chunk_id").alias("a"),
             F.greatest("query_id", "chunk_id").alias("b"),
             F.col("score").alias("similarity"),
         )
-        index = index.join(hot, "key", "left_anti")
-    a = index.select("key", F.col("id").alias("a"), F.col("c0").alias("a0"), F.col("c1").alias("a1"))
-    b = index.select("key", F.col("id").alias("b"), F.col("c0").alias("b0"), F.col("c1").alias("b1"))
-    distance = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(
-        F.col("a1").bitwiseXOR(F.col("b1"))
-    )
-    near = (
-        a.join(b, "key")
-        .where((F.col("a") < F.col("b")) & (distance <= RADIUS))
-        .select("a", "b")
-        .distinct()
-    )
     va = coded.select(F.col("id").alias("a"), F.col("v").alias("va"))
     vb = coded.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    both = near.join(va, "a").join(vb, "b")
+    both = found.where("not hot").select("a", "b").join(va, "a").join(vb, "b")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,13 +400,16 @@ def neighbours(chunks: DataFrame, k: int = K, least: float = LEAST) -> DataFrame
     index; of a class of copies only its ``k + 1`` smallest ids can be anyone's
     neighbours under that rule, so no group is expanded into its pairs.
     """
-    coded = materialise(_coded(usable(chunks)), "p4-coded")
+    # two hashes name a vector; the smallest id of equal ones stands for all
+    rows = usable(chunks).withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(1), "v")})
+    rows = materialise(rows, "p4-rows")
     same = ["model", "f1", "f2"]
-    reps = coded.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    reps = rows.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = materialise(reps, "p4-reps")
-    own = coded.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    own = materialise(own, "p4-own")
-    links = similar_pairs(own, least, k + 1)
+    plan = Plan.of(reps.count(), least)
+    own = rows.select("id", "model", "v").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    own = materialise(_coded(own, plan.rotations), "p4-own")
+    links = similar_pairs(own, plan, least, k + 1)
     sides = links.select(
         F.explode(
             F.array(
@@ -283,7 +429,7 @@ def neighbours(chunks: DataFrame, k: int = K, least: float = LEAST) -> DataFrame
         .drop("place")
     )
     # inner joins only: of these, adaptive execution can split a hot class on either side
-    members = materialise(coded.join(reps, same).select("id", "rep"), "p4-members")
+    members = materialise(rows.select("id", *same).join(reps, same).select("id", "rep"), "p4-members")
     first = (
         members.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy("id")))
         .where(F.col("n") <= k + 1)
@@ -335,12 +481,15 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def recall(chunks: DataFrame, queries: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
-    """One row: ``exact`` neighbours of ``queries`` with at least ``least``,
-    how many the index ``found``, and their share."""
-    want = nearest(chunks, queries, k).where(F.col("similarity") >= least).select("id", "neighbour")
+    """``(band, exact, found, recall)``: per band of 0.02 of the similarity, the
+    exact neighbours of ``queries`` with at least ``least``, how many of them
+    the index found, and their share."""
+    want = nearest(chunks, queries, k).where(F.col("similarity") >= least)
     have = neighbours(chunks, k, least).select("id", "neighbour", F.lit(1).alias("found"))
+    band = F.least(F.floor(F.col("similarity") * 50 + 1e-9), F.lit(49)) / 50
     return (
         want.join(have, ["id", "neighbour"], "left")
+        .groupBy(F.round(band, 2).alias("band"))
         .agg(F.count("*").alias("exact"), F.count("found").alias("found"))
         .withColumn("recall", F.round(F.col("found") / F.col("exact"), 6))
     )

@@ -328,6 +328,34 @@ def test_recall_does_not_depend_on_the_number_of_vectors(spark, monkeypatch):
     assert len(want) > 300 and len(got & want) / len(want) >= 0.95
 
 
+@pytest.mark.parametrize("load", [32, 0.02])  # the plan of so many vectors, and of as many millions
+def test_recall_in_every_band_of_unclustered_vectors(spark, monkeypatch, load):
+    monkeypatch.setattr(vector_neighbours, "LOAD", load)
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.normal(size=a.shape)
+    other -= (other * a).sum(1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.901, 0.999, (len(a), 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * other
+    v = np.concatenate([a, b, rng.normal(size=(2000, 64))]).astype(np.float32)
+    rows = [chunk(k, "t", embedding=v[k].tolist(), embedding_model="m") for k in range(len(v))]
+    got = {(r.id_a, r.id_b) for r in vector_neighbours.mutual_pairs(frame(spark, rows)).collect()}
+    for low in (0.90, 0.92, 0.94, 0.96, 0.98):
+        want = {(k, k + 1500) for k in np.flatnonzero((cosine[:, 0] >= low) & (cosine[:, 0] < low + 0.02))}
+        assert len(want) > 200 and len(got & want) >= 0.95 * len(want)
+
+
+def test_plan_keeps_the_chance_of_a_miss():
+    for n in (0, 1, 10**3, 10**6, 10**9, 10**12):
+        plan = vector_neighbours.Plan.of(n, 0.9)
+        p = np.arccos(0.9) / np.pi
+        hit = (1 - p) ** plan.bits + plan.bits * p * (1 - p) ** (plan.bits - 1)
+        assert (1 - hit) ** plan.tables <= vector_neighbours.MISS
+        assert plan.tables <= plan.rotations * (64 // plan.bits) and 128 * p < plan.radius < 64
+
+
 def test_hot_vectors(spark, monkeypatch):
     """A third of all vectors are equal, a third nearly so; buckets are refined."""
     monkeypatch.setattr(vector_neighbours, "HOT", 50)

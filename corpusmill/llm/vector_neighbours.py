@@ -31,39 +31,44 @@ from corpusmill.operators.topk import search
 from corpusmill.session import materialise
 
 DIMENSION = 64
-#: Vectors per key that the length of substrings aims at.
-LOAD = 32
+#: Vectors per key that the length of substrings aims at, and their least length.
+#: A bucket is cheap to scan and an index row dear to move, so buckets are large.
+LOAD, LEAST_BITS = 2048, 7
 #: Chance that no substring retrieves a pair of the least similarity.
 MISS = 0.005
-#: Standard deviations of the Hamming distance that candidates are allowed.
-SLACK = 5
+#: Standard deviations of the Hamming distance that candidates are allowed, and
+#: the 64-bit words of the code that it is taken over.
+SLACK, WORDS = 3.5, 4
 #: Vectors per model that the rotations are learned from; the index has all.
 SAMPLE = 8192
 #: Models that get rotations of their own, the others share random ones.
 MODELS = 64
 #: The rows of buckets beyond this size are searched exactly instead.
-HOT = 4096
+HOT = 16384
 K, LEAST = 10, 0.9
 _BLOCK = 1024
 
 
 class Plan(NamedTuple):
-    """Substring length, number of substrings, rotations, Hamming radius."""
+    """Substring length, number of substrings, rotations, Hamming radii.
+
+    ``radii`` are over the first half of the WORDS, tested first, and over all.
+    """
 
     bits: int
     tables: int
     rotations: int
-    radius: int
+    radii: tuple[int, int]
 
     @staticmethod
     def of(vectors: int, least: float) -> "Plan":
         differ = math.acos(max(min(least, 1 - 1e-9), 0.0)) / math.pi
-        bits = min(max(math.ceil(math.log2(max(vectors, 1) / LOAD)), 4), 32)
+        bits = min(max(math.ceil(math.log2(max(vectors, 1) / LOAD)), LEAST_BITS), 32)
         hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
         tables = math.ceil(math.log(MISS) / math.log(1 - hit))
-        rotations = max(2, math.ceil(tables / (64 // bits)))
-        spread = math.sqrt(128 * differ * (1 - differ))
-        return Plan(bits, tables, rotations, math.floor(128 * differ + SLACK * spread))
+        radius = lambda n: math.floor(n * differ + SLACK * math.sqrt(n * differ * (1 - differ)))
+        rotations = max(WORDS, math.ceil(tables / (64 // bits)))
+        return Plan(bits, tables, rotations, (radius(32 * WORDS), radius(64 * WORDS)))
 
 
 def learn(vectors: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +193,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _index(coded: DataFrame, plan: Plan) -> DataFrame:
-    """``(key, probe, id, c0, c1)``: each substring under its own key, and as a
+    """``(key, probe, id, c0..)``: each substring under its own key, and as a
     probe under the keys with one of its zero bits set.
 
     Of two codes that differ in one bit of a substring, the one that has zero
     there probes the key of the other, so each such pair meets once.
     """
-    per = 64 // plan.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << plan.bits) - 1)
@@ -208,7 +212,8 @@ def _index(coded: DataFrame, plan: Plan) -> DataFrame:
                 keys, rows, probes = [], [], []
                 with np.errstate(over="ignore"):
                     for table in range(plan.tables):
-                        own = (codes[:, table // per] >> np.uint64(table % per * plan.bits)) & mask
+                        place, rotation = divmod(table, plan.rotations)
+                        own = (codes[:, rotation] >> np.uint64(place * plan.bits)) & mask
                         base = _mix(salt + np.uint64(table + 1) * np.uint64(0x9E3779B97F4A7C15))
                         keys.append(_mix(base ^ own))
                         rows.append(np.arange(len(own)))
@@ -224,13 +229,14 @@ def _index(coded: DataFrame, plan: Plan) -> DataFrame:
                         pa.array(np.concatenate(keys).view(np.int64)),
                         pa.array(np.concatenate(probes)),
                         batch.column(0).take(pa.array(at)),
-                        *(pa.array(codes[at, k].view(np.int64)) for k in (0, 1)),
+                        *(pa.array(codes[at, k].view(np.int64)) for k in range(WORDS)),
                     ],
-                    ["key", "probe", "id", "c0", "c1"],
+                    ["key", "probe", "id", *(f"c{k}" for k in range(WORDS))],
                 )
 
+    words = "".join(f", c{k} bigint" for k in range(WORDS))
     return coded.select("id", "model", "code").mapInArrow(
-        run, "key bigint, probe boolean, id bigint, c0 bigint, c1 bigint"
+        run, f"key bigint, probe boolean, id bigint{words}"
     )
 
 
@@ -241,23 +247,27 @@ class _Buckets:
     with more gives one row ``(key, key, true)`` and no pairs.
     """
 
-    def __init__(self, radius: int):
-        self.radius, self.key = radius, None
-        self.ids, self.codes, self.hot = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), False
+    def __init__(self, radii: tuple[int, int]):
+        self.radii, self.key = radii, None
+        self.ids, self.codes, self.hot = np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64), False
         self.out: list[tuple[np.ndarray, np.ndarray, bool]] = []
 
     def _near(self, ids: np.ndarray, codes: np.ndarray, other: np.ndarray, codes_of: np.ndarray, below: bool) -> None:
+        half = WORDS // 2
         for i in range(0, len(ids), _BLOCK):
             a = codes[i : i + _BLOCK]
             for j in range(i if below else 0, len(other), _BLOCK):
                 b = codes_of[j : j + _BLOCK]
                 d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-                d += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
-                x, y = np.nonzero(d <= self.radius)
+                for k in range(1, half):
+                    d += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+                x, y = np.nonzero(d <= self.radii[0])
                 if below:
                     x, y = x[x + i < y + j], y[x + i < y + j]
-                if len(x):
-                    p, q = ids[i + x], other[j + y]
+                rest = np.bitwise_count(a[x, half:] ^ b[y, half:]).sum(1, dtype=np.int64)
+                near = d[x, y] + rest <= self.radii[1]
+                if near.any():
+                    p, q = ids[i + x[near]], other[j + y[near]]
                     self.out.append((np.minimum(p, q), np.maximum(p, q), False))
 
     def add(self, key: int, probe: bool, ids: np.ndarray, codes: np.ndarray) -> None:
@@ -289,13 +299,13 @@ class _Buckets:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hot)], ["a", "b", "hot"])
 
 
-def _candidates(radius: int):
+def _candidates(radii: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(radius)
+        buckets = _Buckets(radii)
         for batch in batches:
             key, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             probe = batch.column(1).to_numpy(zero_copy_only=False)
-            codes = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (3, 4)], 1)
+            codes = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(3, 3 + WORDS)], 1)
             if not len(key):
                 continue
             change = (key[1:] != key[:-1]) | (probe[1:] != probe[:-1])
@@ -354,7 +364,7 @@ def similar_pairs(coded: DataFrame, plan: Plan, least: float = LEAST, k: int = K
     found = materialise(
         index.repartition("key")
         .sortWithinPartitions("key", "probe")
-        .mapInArrow(_candidates(plan.radius), "a bigint, b bigint, hot boolean")
+        .mapInArrow(_candidates(plan.radii), "a bigint, b bigint, hot boolean")
         .distinct(),
         "p4-candidates",
     )

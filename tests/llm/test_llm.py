@@ -328,7 +328,7 @@ def test_recall_does_not_depend_on_the_number_of_vectors(spark, monkeypatch):
     assert len(want) > 300 and len(got & want) / len(want) >= 0.95
 
 
-@pytest.mark.parametrize("load", [32, 0.02])  # the plan of so many vectors, and of as many millions
+@pytest.mark.parametrize("load", [2048, 0.2])  # the plan of so many vectors, and of as many millions
 def test_recall_in_every_band_of_unclustered_vectors(spark, monkeypatch, load):
     monkeypatch.setattr(vector_neighbours, "LOAD", load)
     rng = np.random.default_rng(11)
@@ -353,7 +353,8 @@ def test_plan_keeps_the_chance_of_a_miss():
         p = np.arccos(0.9) / np.pi
         hit = (1 - p) ** plan.bits + plan.bits * p * (1 - p) ** (plan.bits - 1)
         assert (1 - hit) ** plan.tables <= vector_neighbours.MISS
-        assert plan.tables <= plan.rotations * (64 // plan.bits) and 128 * p < plan.radius < 64
+        assert plan.tables <= plan.rotations * (64 // plan.bits)
+        assert 128 * p < plan.radii[0] < 64 and 256 * p < plan.radii[1] < 128
 
 
 def test_hot_vectors(spark, monkeypatch):

@@ -29,6 +29,9 @@ SEGMENTS, WIDTH = 20, 5
 SYMBOLS = SEGMENTS * WIDTH
 #: Buckets up to this size give all their pairs; larger ones a star first.
 STAR_FROM = 64
+#: Members outside the star's class up to which they meet the whole bucket; more
+#: are told apart by a second segment first.
+FEW = 64
 #: Least equal 2-bit symbols of SYMBOLS for a candidate to be verified: five
 #: standard deviations below what similarity 0.6 is expected to have.
 LEAST_EQUAL = 47
@@ -139,6 +142,34 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of crowded buckets in (bucket, id, code), their keys within the
+    bucket out: the variants of every segment but the one of the bucket."""
+    step = 2000
+    own = np.repeat(np.arange(SEGMENTS), WIDTH)
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            bucket = batch.column(0).to_numpy().view(np.uint64)
+            keys = variants(batch.column(2).flatten().to_numpy().view(np.uint32).reshape(-1, SYMBOLS))
+            segment = own[(keys == bucket[:, None]).argmax(1)]
+            row, place = np.nonzero(own[None, :] != segment[:, None])
+            with np.errstate(over="ignore"):
+                inside = _mix(keys[row, place] ^ _mix(bucket[row] * _MUL))
+            ids = batch.column(1).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(inside.view(np.int64)), ids], ["key", "id"])
+
+
+def _met(indexed: DataFrame) -> DataFrame:
+    """Candidates ``(a, b, bucket)`` of an index; bucket is 0 but for stars."""
+    return (
+        indexed.repartition("key")
+        .sortWithinPartitions("key", "id")
+        .mapInArrow(_pairs, "a bigint, b bigint, bucket bigint")
+        .distinct()
+    )
+
+
 class _Runs:
     """Rows sorted by key in, candidate pairs out; holds STAR_FROM ids at most."""
 
@@ -260,12 +291,13 @@ class Groups:
     runs and no partner; re-delivered rows count once, by their latest
     delivery; an empty table gives none. A bucket of more than STAR_FROM
     members is not expanded into all its pairs: its members are compared with
-    its first, and only those that end up outside the first one's class are
-    compared with the other members, so that no connection is lost.
+    its first. Those that end up outside the first one's class meet the members
+    of other classes: all of them where they are few, else those with which
+    they share a second segment too, which a linked pair does with a
+    probability of 0.9996 in each of its buckets.
 
-    ``links``: (a, b) of linked representatives, all of them but those inside
-    the classes of large buckets; :meth:`all_links` has these too. ``members``: (id, rep, class)
-    of every chunk with a partner.
+    ``links``: (a, b) of linked representatives, enough to connect every class.
+    ``members``: (id, rep, class) of every chunk with a partner.
     """
 
     def __init__(self, chunks: DataFrame, text: str = "content"):
@@ -297,50 +329,22 @@ class Groups:
         own = materialise(own.drop("at", "f1", "f2"), "p2-own")
         release(sketch)
         indexed = own.select("id", "code").mapInArrow(_index, "key bigint, id bigint")
-        candidates = (
-            indexed.repartition("key")
-            .sortWithinPartitions("key", "id")
-            .mapInArrow(_pairs, "a bigint, b bigint, bucket bigint")
-            .distinct()
-        )
         short = own.select("id", "q0", "q1", "q2", "q3")
-        candidates = materialise(candidates, "p2-candidates")
+        candidates = materialise(_met(indexed), "p2-candidates")
         pairs = _likely(candidates.select("a", "b").distinct(), short).select("a", "b")
         links = materialise(
             _verified(materialise(pairs, "p2-likely"), chunks, text), "p2-links"
         )
         label = connected_components(links)
         stars = candidates.where("bucket <> 0")
-        if not stars.isEmpty():
-            named = lambda side: label.select(
-                F.col("node").alias(side), F.col("component").alias(f"c{side}")
-            )
-            own_class = lambda s: F.coalesce(f"c{s}", s)
-            outside = materialise(
-                stars.join(named("a"), "a", "left")
-                .join(named("b"), "b", "left")
-                .where(own_class("a") != own_class("b"))
-                .select("bucket", F.col("b").alias("x")),
-                "p2-outside",
-            )
-            if not outside.isEmpty():
-                everyone = stars.select("bucket", F.col("b").alias("y"))
-                more = (
-                    outside.join(everyone, "bucket")
-                    .where("x <> y")
-                    .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-                    .distinct()
-                )
-                more = materialise(_likely(more, short).select("a", "b"), "p2-likely")
-                links = materialise(
-                    links.union(_verified(more, chunks, text)).distinct(), "p2-links"
-                )
-                label = connected_components(links)
-        self.links, self.label = links, label
-        self._verify = lambda p: _verified(
-            materialise(_likely(p, short).select("a", "b"), "p2-likely"), chunks, text
-        )
-        self._starred = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for last in (False, True):
+            if stars.isEmpty():
+                break
+            more, stars = self._outside(stars, label, own, last)
+            more = materialise(_likely(more.distinct(), short).select("a", "b"), "p2-likely")
+            links = materialise(links.union(_verified(more, chunks, text)).distinct(), "p2-links")
+            label = connected_components(links)
+        self.links = links
         of = label.select(F.col("node").alias("rep"), "component")
         linked = of.select(F.col("rep").alias("id"), "rep", F.col("component").alias("class"))
         held = self.copies.join(of, "rep", "left").select(
@@ -348,22 +352,44 @@ class Groups:
         )
         self.members = linked.unionByName(held).distinct()
 
-
-    def all_links(self) -> DataFrame:
-        """(a, b), a < b, of all linked representatives.
-
-        Linked ones are of one class, so in the classes that a large bucket
-        touches every pair is tested; that cost is quadratic in such a class.
-        """
-        touched = self.label.join(self._starred, "node", "left_semi").select("component").distinct()
-        inside = materialise(self.label.join(touched, "component", "left_semi"), "p2-touched")
-        known = self.links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if inside.isEmpty():
-            return known.distinct()
-        a = inside.select("component", F.col("node").alias("a"))
-        b = inside.select("component", F.col("node").alias("b"))
-        pairs = a.join(b, "component").where("a < b").select("a", "b")
-        return known.union(self._verify(pairs)).distinct()
+    @staticmethod
+    def _outside(
+        stars: DataFrame, label: DataFrame, own: DataFrame, last: bool
+    ) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) still to compare in the buckets of ``stars``, and the
+        stars of those buckets that were divided by a second segment."""
+        named = label.select(F.col("node").alias("id"), F.col("component").alias("class"))
+        ends = F.array(
+            F.struct(F.col("a").alias("id"), F.lit(True).alias("first")),
+            F.struct(F.col("b").alias("id"), F.lit(False).alias("first")),
+        )
+        held = (
+            stars.select("bucket", F.explode(ends).alias("e"))
+            .select("bucket", "e.id", "e.first")
+            .distinct()
+            .join(named, "id", "left")
+            .select("bucket", "id", "first", F.coalesce("class", "id").alias("class"))
+        )
+        centre = held.where("first").groupBy("bucket").agg(F.min("class").alias("centre"))
+        held = held.join(centre, "bucket").withColumn("out", F.col("class") != F.col("centre"))
+        held = materialise(held, "p2-held")
+        count = held.groupBy("bucket").agg(F.count_if("out").alias("n")).where("n > 0")
+        count = materialise(count, "p2-outside")
+        few = count if last else count.where(F.col("n") <= FEW)
+        side = lambda name: held.join(few, "bucket").select(
+            "bucket", F.col("id").alias(name), F.col("class").alias(f"c{name}"), "out"
+        )
+        more = (
+            side("x").where("out").drop("out").join(side("y").drop("out"), "bucket")
+            .where("cx <> cy")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        )
+        if last:
+            return more, stars.where("false")
+        many = held.join(count.where(F.col("n") > FEW), "bucket").select("bucket", "id").distinct()
+        divided = many.join(own.select("id", "code"), "id").select("bucket", "id", "code")
+        divided = materialise(_met(divided.mapInArrow(_refined, "key bigint, id bigint")), "p2-divided")
+        return more.union(divided.select("a", "b")), divided.where("bucket <> 0")
 
 
 def case_pairs(chunks: DataFrame) -> DataFrame:
@@ -379,19 +405,8 @@ def case_pairs(chunks: DataFrame) -> DataFrame:
 
 
 def classes(chunks: DataFrame) -> DataFrame:
-    """``(id, class_id, links)`` of every leaf chunk: the smallest id of its
-    class (its own if it has no partner), and the number of other
-    representatives that its own one is directly linked to."""
-    found = Groups(chunks)
-    ends = found.all_links().select(F.explode(F.array("a", "b")).alias("rep"))
-    counted = ends.groupBy("rep").agg(F.count("*").alias("links"))
+    """``(id, class_id)`` of every leaf chunk: the smallest id of its class, its
+    own if it has no partner."""
+    members = Groups(chunks).members.select("id", "class")
     ids = chunks.where("chunk_kind = 'leaf' and id is not null").select("id").distinct()
-    return (
-        ids.join(found.members, "id", "left")
-        .join(counted, "rep", "left")
-        .select(
-            "id",
-            F.coalesce("class", "id").alias("class_id"),
-            F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
-        )
-    )
+    return ids.join(members, "id", "left").select("id", F.coalesce("class", "id").alias("class_id"))

@@ -159,6 +159,8 @@ _RUNS = _LEAVES + r""",
 ORACLE = {
     "p2_found": f"with recursive {_RUNS.replace('both as', '"both" as')} "
     "select x as id_a, y as id_b from reach where x < y",
+    "p2_classes": f"with recursive {_RUNS.replace('both as', '\"both\" as')} "
+    "select id, coalesce((select min(least(x, y)) from reach where x = id), id) as class_id from leaf",
     "p4_found": f"""with {_VECTORS},
         near as (select a, b from (select q.id as a, vec.id as b, list_cosine_similarity(q.v, vec.v) as s
             from vec q, vec where q.model = vec.model and q.id <> vec.id

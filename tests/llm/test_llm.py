@@ -243,15 +243,29 @@ def test_stragglers_of_a_star_are_compared(spark, monkeypatch):
     assert got == linked_classes(texts)
 
 
-def test_links_inside_a_star_are_counted(spark):
-    n = near_duplicates.STAR_FROM + 20
-    rows = [chunk(k, "t", content=" ".join([*(f"b{j}" for j in range(100)), f"x{k}"])) for k in range(n)]
-    got = near_duplicates.classes(frame(spark, rows)).collect()
-    assert {(r.class_id, r.links) for r in got} == {(0, n - 1)}
+@pytest.mark.parametrize("few", [64, 0])
+def test_a_crowded_bucket_of_unlinked_texts(spark, monkeypatch, few):
+    """Texts that share a form but are not linked do not meet in all pairs."""
+    monkeypatch.setattr(near_duplicates, "STAR_FROM", 4)
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    tested = []
+    likely = near_duplicates._likely
+    monkeypatch.setattr(near_duplicates, "_likely", lambda pairs, short: tested.append(pairs.count()) or likely(pairs, short))
+    rng = random.Random(3)
+    form = [f"f{k}" for k in range(50)]
+    texts = {k: " ".join(form + [f"w{rng.randrange(10**6)}" for _ in range(55)]) for k in range(1500)}
+    for k in range(0, 200, 2):  # some of them are
+        words = texts[k].split()
+        words[-1] = "other"
+        texts[k + 1] = " ".join(words)
+    rows = [chunk(k, t, content=t) for k, t in texts.items()]
+    got = {(r.id_a, r.id_b) for r in near_duplicates.case_pairs(frame(spark, rows)).collect()}
+    assert got == {(k, k + 1) for k in range(0, 200, 2)}
+    assert len(tested) >= 2 and sum(tested) < 0.5 * 1500 * 1499 / 2, tested
 
 
 def test_near_duplicate_edges(spark, odd_chunks):
-    got = {(r.id, r.class_id, r.links) for r in near_duplicates.classes(odd_chunks).collect()}
+    got = {(r.id, r.class_id) for r in near_duplicates.classes(odd_chunks).collect()}
     ids = {k for k in range(len(ODD))} | {50}
     assert {g[0] for g in got} == ids
     assert near_duplicates.case_pairs(odd_chunks.where("false")).count() == 0

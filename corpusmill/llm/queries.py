@@ -45,6 +45,13 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Without the blocks' names, which are hashes."""
+    return site_lines.block_report(
+        table(spark, folder, "chunks"), table(spark, folder, "documents")
+    ).drop("block")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return vector_neighbours.mutual_pairs(table(spark, folder, "chunks"))
 
@@ -101,7 +108,7 @@ def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p4_found, p4_nearest, p4_recall,
+        p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p3_blocks, p4_found, p4_nearest, p4_recall,
         p5_found, p5_pieces, p6_ids, p7_found, p7_items,
         p8_found, p8_sources, p8_limits,
     )
@@ -175,6 +182,22 @@ ORACLE = {
     "p3_found": _P3
     + """ select id, cast(line_no as int) as line_no from keyed join src using (document_id)
         join hot using (source, k)""",
+    "p3_blocks": _P3.replace("with base", "with recursive base")
+    + """, node as (select source, k, n, count(distinct document_id) as weight
+            from keyed join src using (document_id) join hot using (source, k) join size using (source)
+            group by all),
+        hit as (select distinct id, document_id, line_no, source, k from keyed
+            join src using (document_id) join hot using (source, k)),
+        edge as (select a.source, a.k as x, b.k as y from hit a
+            join hit b on b.id = a.id and b.line_no = a.line_no + 1 join size on size.source = a.source
+            where a.k <> b.k group by a.source, a.k, b.k, n
+            having count(distinct a.document_id) >= greatest(5, 0.1 * n)),
+        sym as (select source, x, y from edge union select source, y, x from edge),
+        reach(source, x, y) as (select source, k, k from node union
+            select r.source, r.x, s.y from reach r join sym s on s.source = r.source and s.x = r.y),
+        block as (select source, x as k, min(y) as block from reach group by all)
+        select source, count(*) as lines, min(weight) as least, max(weight) as most
+        from node join block using (source, k) group by source, block""",
     "p3_clean": _P3 + r""",
         hit as (select distinct id, line_no from keyed join src using (document_id)
             join hot using (source, k)),

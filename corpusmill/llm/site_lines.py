@@ -144,12 +144,17 @@ class Repeated:
         )
 
     def blocks(self) -> DataFrame:
-        """``(source, h1, h2, weight, documents, block)``: each node's block."""
+        """``(source, h1, h2, weight, documents, block)``: each node's block.
+
+        An edge needs the support a line needs, in documents and as a share of
+        its source; a line without such an edge is a block of its own.
+        """
         name = lambda a, b: F.xxhash64("source", a, b)
-        strong = self.edges().join(
-            self.nodes.select("source", "documents"), "source", "left_semi"
+        size = self.nodes.select("source", "documents").distinct()
+        strong = self.edges().join(size, "source").where(
+            (F.col("weight") >= self.min_documents)
+            & (F.col("weight") >= F.col("documents") * self.min_share)
         )
-        strong = strong.where(F.col("weight") >= self.min_documents)
         linked = connected_components(
             strong.select(name("h1", "h2").alias("a"), name("n1", "n2").alias("b"))
         )
@@ -175,6 +180,20 @@ def repeated_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def block_report(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(source, block, lines, least, most)`` of every block: how many lines it
+    has, and in how many documents of its source the rarest and the commonest
+    of them stand."""
+    return (
+        Repeated(chunks, documents)
+        .blocks()
+        .groupBy("source", "block")
+        .agg(
+            F.count("*").alias("lines"), F.min("weight").alias("least"), F.max("weight").alias("most")
+        )
+    )
+
+
 def without_repeated_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """``(id, document_id, kept_content, lines_removed)`` of every leaf chunk.
 

@@ -295,6 +295,20 @@ def test_repeated_lines_and_blocks(spark):
     assert kept[99].lines_removed == 0
 
 
+def test_edges_need_support_to_make_a_block(spark):
+    a, b, c = "All rights in this text are reserved", "Share this page with all your friends", "Printed for you from our own site today"
+    rows, documents = [], []
+    for k in range(100):  # b follows a in 30 documents, c follows b in 6, fewer than a tenth
+        lines = [a, b] if k < 30 else [a, "short", b] if k < 40 else [c] if k < 60 else ["nothing here"]
+        rows.append(chunk(k, "\n".join(lines + [c] * (k < 6)), doc=f"d{k}"))
+        documents.append((k, f"d{k}", None, "s", "toi", "edge", None))
+    chunks, documents = frame(spark, rows), docs(spark, documents)
+    report = lambda: {(r.lines, r.least, r.most) for r in site_lines.block_report(chunks, documents).collect()}
+    assert report() == {(2, 40, 40), (1, 26, 26)}
+    found = site_lines.Repeated(chunks, documents, min_share=0.06)
+    assert len({r.block for r in found.blocks().collect()}) == 1
+
+
 def test_repeated_line_edges(spark, odd_chunks, odd_documents):
     assert site_lines.repeated_lines(odd_chunks, odd_documents).count() == 0
     kept = {r.id: r.kept_content for r in site_lines.without_repeated_lines(odd_chunks, odd_documents).collect()}

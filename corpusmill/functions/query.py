@@ -81,6 +81,10 @@ def register(spark: SparkSession) -> None:
     """Make the query and text functions callable from SQL."""
     from corpusmill.functions.analyze import analyze
 
-    spark.udf.register("annotate_query", annotate, T.StringType())
-    spark.udf.register("query_variants", variants, T.ArrayType(T.StringType()))
-    spark.udf.register("analyze_text", analyze, T.ArrayType(T.StringType()))
+    words = T.ArrayType(T.StringType())
+    for name, f, kind in (
+        ("annotate_query", annotate, T.StringType()),
+        ("query_variants", variants, words),
+        ("analyze_text", analyze, words),
+    ):
+        spark.udf.register(name, F.udf(f, kind, useArrow=True))

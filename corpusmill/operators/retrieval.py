@@ -46,18 +46,31 @@ def usable_vector(c: Column, dimension: int) -> Column:
     return F.coalesce((F.size(c) == dimension) & ok & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def _filter_mask(values: list, wanted: list) -> np.ndarray:
-    """queries x rows: a query without a wish takes any row."""
-    v = np.array([x if x is not None else "\0" for x in values], object)
-    return np.array([np.ones(len(v), bool) if w is None else v == w for w in wanted])
+class Filters:
+    """Wishes of a block of queries for category and product, as numbers.
 
+    ``block``: rows whose third and fourth fields are the wishes; a query
+    without a wish takes any row.
+    """
 
-def _masked(scores: np.ndarray, batch: pa.RecordBatch, queries: list, at: int) -> np.ndarray:
-    for column, place in ((at, 2), (at + 1, 3)):
-        wanted = [q[place] for q in queries]
-        if any(w is not None for w in wanted):
-            scores[~_filter_mask(batch.column(column).to_pylist(), wanted)] = -np.inf
-    return scores
+    def __init__(self, block: list):
+        self.sides = []
+        for place in (2, 3):
+            wanted = [q[place] for q in block]
+            number = {w: n for n, w in enumerate(dict.fromkeys(w for w in wanted if w is not None))}
+            self.sides.append((number, np.array([-1 if w is None else number[w] for w in wanted])))
+
+    def masked(self, scores: np.ndarray, batch: pa.RecordBatch, at: int) -> np.ndarray:
+        """``scores``, queries x rows, without what the wishes exclude; the
+        rows' values stand in columns ``at`` and ``at + 1``."""
+        for column, (number, wanted) in enumerate(self.sides):
+            if not number:
+                continue
+            coded = batch.column(at + column).dictionary_encode()
+            known = np.array([number.get(v, -2) for v in coded.dictionary.to_pylist()] + [-2])
+            held = known[coded.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)]
+            scores[(wanted[:, None] != held[None, :]) & (wanted[:, None] >= 0)] = -np.inf
+        return scores
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, dimension: int = 64) -> DataFrame:
@@ -78,11 +91,11 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, dimension: int = 6
         return m / np.sqrt((m * m).sum(1, keepdims=True))
 
     def scorer(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
-        q = unit(np.array([r[1] for r in block], np.float64))
+        q, filters = unit(np.array([r[1] for r in block], np.float64)), Filters(block)
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
             m = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False))
-            return _masked(np.round(q @ m.T, DIGITS), batch, block, 2)
+            return filters.masked(np.round(q @ m.T, DIGITS), batch, 2)
 
         return score
 
@@ -171,7 +184,7 @@ def bm25_topk(
                 x = places.setdefault(t["term"], ([], []))
                 x[0].append(at)
                 x[1].append(t["idf"])
-        number = {t: k for k, t in enumerate(places)}
+        number, filters = {t: k for k, t in enumerate(places)}, Filters(block)
         asking = [np.array(x[0]) for x in places.values()]
         weight = [np.array(x[1]) for x in places.values()]
 
@@ -194,7 +207,7 @@ def bm25_topk(
                     out[r[:, None], asking[t][None, :]] += p[:, None] * weight[t][None, :]
             out = np.round(out.T, DIGITS)
             out[out <= 0] = -np.inf
-            return _masked(out, batch, block, 2)
+            return filters.masked(out, batch, 2)
 
         return score
 
@@ -394,15 +407,13 @@ def search(
         dense = dense_topk(chunks, queries, opt.pool, dimension)
     else:
         named = variants.join(queries.select("query_id", "category", "product"), "query_id")
-        named = named.withColumn("_q", F.col("query_id") * 64 + F.col("variant"))
-        flat = named.select(F.col("_q").alias("query_id"), "embedding", "category", "product")
-        hits = dense_topk(chunks, flat, opt.pool, dimension).select(
-            F.floor(F.col("query_id") / 64).alias("query_id"),
-            F.pmod("query_id", F.lit(64)).alias("variant"),
-            "chunk_id",
-            "rank",
-            "score",
+        # a number of its own for each variant: ids of queries may use all 64 bits
+        named = materialise(
+            named.withColumn("_q", F.monotonically_increasing_id()), "variants"
         )
+        flat = named.select(F.col("_q").alias("query_id"), "embedding", "category", "product")
+        hits = dense_topk(chunks, flat, opt.pool, dimension).withColumnRenamed("query_id", "_q")
+        hits = hits.join(named.select("_q", "query_id", "variant"), "_q").drop("_q")
         dense = union_best_rank(hits)
     sparse = bm25_topk(chunks, queries, opt.pool, tokens, opt.k1, opt.b)
     candidates = cut_to_depth(fuse(dense, sparse, opt.rrf_k), opt)

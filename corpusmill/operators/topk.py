@@ -23,33 +23,45 @@ HITS = "query_id bigint, chunk_id bigint, score double"
 
 
 class Best:
-    """The k best rows per query, ties to the smaller id."""
+    """The k best rows per query, ties to the smaller id.
+
+    Rows below a query's k-th best are passed over at once; the others wait
+    until they are worth sorting.
+    """
 
     def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, 0), 0.0)
-        self.ids = np.zeros((queries, 0), np.int64)
+        self.queries, self.k = queries, k
+        self.least = np.full(queries, -np.inf)
+        self.held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        self.waiting = 0
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores``: queries x rows, -inf where a row is no answer."""
-        scores = np.concatenate([self.scores, scores], 1)
-        ids = np.concatenate([self.ids, np.broadcast_to(ids, (len(scores), len(ids)))], 1)
-        if scores.shape[1] > self.k:
+        wanted = (scores > -np.inf) & (scores >= self.least[:, None])
+        if scores.shape[1] > self.k and np.count_nonzero(wanted) > 4 * self.k * self.queries:
             cut = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            top = np.full((len(scores), self.k), -np.inf)
-            named = np.zeros((len(scores), self.k), np.int64)
-            for q in range(len(scores)):
-                at = np.flatnonzero(scores[q] >= cut[q])
-                at = at[np.lexsort((ids[q, at], -scores[q, at]))][: self.k]
-                top[q], named[q] = scores[q, at], ids[q, at]
-            scores, ids = top, named
-        self.scores, self.ids = scores, ids
+            wanted &= scores >= cut[:, None]
+        q, at = np.nonzero(wanted)
+        self.held.append((q, scores[q, at], ids[at]))
+        self.waiting += len(q)
+        if self.waiting > 4 * self.k * self.queries:
+            self._sort()
+
+    def _sort(self) -> None:
+        q, s, i = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.least[q[last]] = s[last]
+        keep = place < self.k
+        self.held, self.waiting = [(q[keep], s[keep], i[keep])], 0
 
     def rows(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        q, at = np.nonzero(np.isfinite(self.scores))
+        self._sort()
+        q, s, i = self.held[0]
         return pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[q]), pa.array(self.ids[q, at]), pa.array(self.scores[q, at])],
-            ["query_id", "chunk_id", "score"],
+            [pa.array(query_ids[q]), pa.array(i), pa.array(s)], ["query_id", "chunk_id", "score"]
         )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.analyze import stemmed_tokens
-from corpusmill.functions.query import OPENINGS, annotated, query_variants
+from corpusmill.functions.query import ACRONYMS, OPENINGS, annotated, query_variants
 from corpusmill.operators import catalog, evaluate, ingest, mining, retrieval
 from corpusmill.operators.chunking import ChunkOptions, chunk_documents
 from corpusmill.operators.retrieval import SearchOptions
@@ -390,7 +390,17 @@ def query_texts(spark: SparkSession, folder: str) -> DataFrame:
     return mined(spark, folder).select("query_id", query_variants(F.col("text")).alias("variants"))
 
 
-@query()
+def _annotated_sql(c: str) -> str:
+    """Each acronym explained where it first stands as a token of its own."""
+    for short, meaning in ACRONYMS.items():
+        c = (
+            f"regexp_replace({c}, '(^-*|[^\\w-]-*)({short})(-*$|-*[^\\w-])', "
+            f"'\\1\\2 ({meaning})\\3', 'i')"
+        )
+    return c
+
+
+@query(f"with {_K}, {_MQ} select query_id, {_annotated_sql('text')} as text from mq")
 def query_annotations(spark: SparkSession, folder: str) -> DataFrame:
     return mined(spark, folder).select("query_id", annotated(F.col("text")).alias("text"))
 
@@ -553,6 +563,30 @@ def chunk_parents(spark: SparkSession, folder: str) -> DataFrame:
     return _chunked(spark, folder).where("chunk_kind = 'parent'")
 
 
+@query(
+    f"""with {_CHUNKS} select n.id as document_id, n.chunk_index, p.chunk_index as parent_index,
+        md5(concat(coalesce(d.title, ''), ' > ', coalesce(n.title, ''), chr(10), chr(10), n.raw_content)) as content_md5,
+        cast((13 * len(list_filter(string_split(n.raw_content, ' '), lambda w: w <> '')) + 9) // 10 as int) as token_count
+    from numbered n join documents d on d.id = n.id
+    join numbered p on p.id = n.id and p.chunk_kind = 'parent' and p.ordinal = n.ordinal
+    where n.chunk_kind = 'leaf'"""
+)
+def chunk_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves with the text that is indexed and the number of their parent."""
+    held = _sectioned(spark, folder).withColumnRenamed("id", "document_id")
+    chunks = chunk_documents(held)
+    parents = chunks.where("chunk_kind = 'parent'").select(
+        F.col("id").alias("parent_chunk_id"), F.col("chunk_index").alias("parent_index")
+    )
+    return (
+        chunks.where("chunk_kind = 'leaf'")
+        .join(parents, "parent_chunk_id")
+        .select(
+            "document_id", "chunk_index", "parent_index", F.md5("content").alias("content_md5"), "token_count"
+        )
+    )
+
+
 @query(
     f"""with {_CHUNKS} select id as document_id, count(*) as chunks, max(chunk_index) as last_index,
     count(*) filter (chunk_kind = 'parent') as parents from numbered group by 1"""
@@ -604,6 +638,30 @@ def list_documents(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.list_documents(table(spark, folder, "documents"))
 
 
+@query(
+    """select 'category' as by, id, title, category, product from (select * from documents where category = 'manual'
+        order by category, title nulls first, id limit 500)
+    union all select 'product', id, title, category, product from (select * from documents
+        where product = (select max(product) from documents) and category = 'toi'
+        order by category, title nulls first, id limit 1)"""
+)
+def list_documents_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Filters by category and product; limits above 500 and below 1 are clamped."""
+    documents = table(spark, folder, "documents")
+    last = documents.agg(F.max("product")).first()[0]
+    columns = lambda df, by: df.select(F.lit(by).alias("by"), "id", "title", "category", "product")
+    return columns(catalog.list_documents(documents, "manual", None, 9999), "category").unionByName(
+        columns(catalog.list_documents(documents, "toi", last, 0), "product")
+    )
+
+
+@query("select id, to_json(coalesce(tags, [])) as tags_json, coalesce(tags, []) as tags from documents")
+def tags_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags as stored, and read back."""
+    held = table(spark, folder, "documents").select("id", text.tags_to_json(F.col("tags")).alias("tags_json"))
+    return held.withColumn("tags", text.tags_from_json(F.col("tags_json")))
+
+
 @query(
     """with n as (select document_id, count(distinct id) as c from chunks group by 1)
     select id, title, pdf_sha256, tags, coalesce(c, 0) as chunk_count
@@ -628,6 +686,25 @@ def lookup_section(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    f"""with {_K}, one as (select document_id, max(section_title) as section_title from kk
+        where chunk_kind = 'parent' and section_title is not null group by 1)
+    select document_id, section_title, count(*) as chunk_count,
+        md5(string_agg(raw_content, chr(10) || chr(10) order by chunk_index, id)) as body_md5
+    from kk join one using (document_id, section_title) where chunk_kind = 'parent' group by 1, 2"""
+)
+def lookup_section_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document the section with the last title, from its parents only."""
+    chunks = table(spark, folder, "chunks")
+    wanted = (
+        chunks.where("chunk_kind = 'parent' and section_title is not null")
+        .groupBy("document_id")
+        .agg(F.max("section_title").alias("section_title"))
+    )
+    found = catalog.lookup_sections(chunks, "parent").join(wanted, ["document_id", "section_title"])
+    return found.select("document_id", "section_title", "chunk_count", F.md5("body").alias("body_md5"))
+
+
 @query(
     """with r as (select * from ingest_runs order by started_at desc, id desc,
         (finished_at is not null) desc limit 1)
@@ -748,14 +825,17 @@ def jsonl_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Written as lines of JSON to the shared folder and read back."""
     import uuid
 
-    from corpusmill.session import shared_dir
+    from corpusmill.session import delete, shared_dir
 
     path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     rows = table(spark, folder, "mined_queries").where(
         "query is not null and source_chunk_id is not null"
     )
     files.write_lines(rows.select("query_id", "query", "source_chunk_id").distinct(), path)
-    return files.read_lines(spark, path, "query_id BIGINT, query STRING, source_chunk_id BIGINT")
+    back = files.read_lines(spark, path, "query_id BIGINT, query STRING, source_chunk_id BIGINT")
+    back = materialise(back, "jsonl")
+    delete(spark, path)
+    return back
 
 
 # ---------------------------------------------------------------- evaluation and mining
@@ -804,6 +884,28 @@ def bench_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.hit_rates(results, asked, 10)
 
 
+@query(
+    _BASE
+    + """, hits as (select query_id, max((fused_rank = 1 and chunk_id = source_chunk_id)::int) as top1,
+        max((chunk_id = source_chunk_id)::int) as topk from cut join mq using (query_id)
+        where fused_rank <= 10 group by 1)
+    select count(*) as queries, round_even(avg(coalesce(top1, 0)) * 100, 2) as top1_hit_rate,
+        round_even(avg(coalesce(topk, 0)) * 100, 2) as topk_hit_rate
+    from mq left join hits using (query_id)"""
+)
+def bench_hit_rate_by_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """All mined queries in the hybrid search; the chunk each was written from
+    is the only relevant one, whatever its product."""
+    asked = mined(spark, folder)
+    want = asked.select("query_id", F.array("source_chunk_id").alias("ids"), "expect_product")
+    results = _found(spark, folder, SearchOptions()).join(want, "query_id")
+    relevant = evaluate.is_relevant(
+        F.col("chunk_id"), F.col("ids"), F.lit(None).cast("array<string>"), F.col("expect_product"),
+        F.col("document_slug"), F.col("document_title"), F.col("product"),
+    )
+    return evaluate.hit_rates(results.withColumn("relevant", relevant), asked, 10)
+
+
 @query(
     """with v as (select event_type, value, count(*) over (partition by event_type) as n,
         row_number() over (partition by event_type order by value) - 1 as k

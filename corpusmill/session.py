@@ -76,7 +76,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -85,7 +85,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def _delete_quietly(spark: SparkSession, path: str) -> None:
     try:
-        _delete(spark, path)
+        delete(spark, path)
     except Exception:  # noqa: BLE001 - the session may be gone already
         pass
 
@@ -112,4 +112,4 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_corpusmill_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)

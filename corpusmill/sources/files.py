@@ -32,12 +32,13 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(
         lower(F.from_json("value", "map<string,string>")).alias("c")
     )
+    kind = "array<map<string,string>>"
+    documents = F.from_json(F.col("c")["documents"], kind)
+    none = F.raise_error(F.lit(f"{path} holds no catalog")).cast(kind)
     held = whole.select(
         F.to_timestamp(F.col("c")["generated_at"]).alias("generated_at"),
-        F.from_json(F.col("c")["documents"], "array<map<string,string>>").alias("documents"),
+        F.coalesce(documents, none).alias("documents"),
     )
-    if held.where("documents is not null").isEmpty():
-        raise ValueError(f"{path} holds no catalog")
     entry = F.col("e")
     columns = []
     for name, kind in (x.split(" ", 1) for x in ENTRY.split(", ")):

@@ -101,19 +101,11 @@ def ingest(
         new = judged.where("state = 'ok'").drop("state").withColumn(
             "ingested_at", F.lit(started).cast("timestamp")
         )
-        done = new.select("id")
-        all_documents = new if documents is None else steps.upserted(documents, new)
-        all_chunks = (
-            fresh
-            if chunks is None
-            else steps.without_documents(chunks, done, "document_id").unionByName(
-                fresh, allowMissingColumns=True
-            )
-        )
-        if prune:
-            gone = steps.missing_documents(every, all_documents)
-            all_chunks = steps.without_documents(all_chunks, gone, "document_id")
-            all_documents = steps.without_documents(all_documents, gone, "id")
+        gone_documents = new.select("id")
+        if prune and documents is not None:
+            gone_documents = gone_documents.unionByName(steps.missing_documents(every, documents).select("id"))
+        gone_documents = materialise(gone_documents.distinct(), "ingest-gone")
+        gone_chunks = gone_documents.withColumnRenamed("id", "document_id")
         finished = datetime.now(timezone.utc)
         log = spark.createDataFrame(
             [
@@ -122,15 +114,11 @@ def ingest(
             ],
             RUN,
         )
-        old = store.read("outcomes")
         store.commit(
-            {
-                "documents": all_documents,
-                "chunks": all_chunks,
-                "ingest_runs": log if runs is None else runs.unionByName(log),
-                "outcomes": outcomes if old is None else old.unionByName(outcomes),
-            }
+            append={"ingest_runs": log, "outcomes": outcomes},
+            upsert={"documents": (new, gone_documents), "chunks": (fresh, gone_chunks)},
         )
+        release(gone_documents)
     release(judged, fresh)
     return run
 

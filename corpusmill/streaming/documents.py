@@ -1,7 +1,7 @@
 """Structured Streaming ingest: files of documents into the store.
 
-An extension of batch ingest. Each micro-batch is upserted as one snapshot;
-a replayed batch is recognised by its number, so every file counts once.
+An extension of batch ingest. Each micro-batch is upserted as one version of
+the store, which rewrites only the buckets it touches; a replayed batch is recognised by its number, so every file counts once.
 """
 
 from __future__ import annotations
@@ -41,16 +41,14 @@ def apply_batch(store: Store, batch: DataFrame, number: int, opt: ChunkOptions =
     ).where("state = 'ok'")
     fresh = chunk_documents(judged.withColumnRenamed("id", "document_id"), opt=opt)
     rows = judged.drop("sections", "state")
-    chunks = store.read("chunks")
     mark = batch.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("batch"))
+    none = rows.select("id").where("false")
     store.commit(
-        {
-            "documents": rows if stored is None else steps.upserted(stored, rows),
-            "chunks": fresh
-            if chunks is None
-            else steps.without_documents(chunks, rows.select("id"), "document_id").unionByName(fresh),
-            "batches": mark if done is None else done.unionByName(mark),
-        }
+        append={"batches": mark},
+        upsert={
+            "documents": (rows, none),
+            "chunks": (fresh, rows.select(F.col("id").alias("document_id"))),
+        },
     )
 
 

@@ -1,6 +1,7 @@
 import json
 
 from corpusmill.__main__ import main
+from corpusmill.sources.store import Store
 from tests.test_ingest import write_catalog
 
 EVPN = "# Overlay\n" + "EVPN overlay with VXLAN tunnels between leaf switches. " * 3
@@ -23,7 +24,7 @@ def test_verbs(spark, tmp_path, capsys):
     assert spark.read.json(history).first().label == "x"
     assert main(["curate-triples", store, str(tmp_path / "q.json"), str(tmp_path / "t"), "--negatives-per-query", "1"]) == 0
     assert spark.read.json(str(tmp_path / "t")).count() == 2
-    chunk = spark.read.parquet(f"{store}/snapshot-1/chunks").where("chunk_kind = 'leaf' and document_id = 'evpn'").first()
+    chunk = Store(spark, store).read("chunks").where("chunk_kind = 'leaf' and document_id = 'evpn'").first()
     lines = [{"query": "EVPN overlay", "source_chunk_id": chunk.id}, {"query": "EVPN overlay", "source_chunk_id": 5}]
     (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)))
     assert main(["validate-bench-queries", store, str(tmp_path / "c.jsonl"), str(tmp_path / "v")]) == 0

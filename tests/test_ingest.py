@@ -5,7 +5,7 @@ import pytest
 from corpusmill.operators import ingest as steps
 from corpusmill.plans.ingest import ingest
 from corpusmill.sources import files
-from corpusmill.sources.store import Store
+from corpusmill.sources.store import ConcurrentWrite, Store
 
 
 def write_catalog(base, docs):
@@ -119,6 +119,36 @@ def test_run_log(spark):
     assert steps.last_successful(runs.where("false")).first() is None
 
 
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=8)
+    rows = lambda ids, v: spark.createDataFrame([(str(k), v) for k in ids], "id string, v string")
+    none = rows([], "").select("id")
+    store.commit(upsert={"documents": (rows(range(200), "old"), none)})
+    before = set(store._manifest()["tables"]["documents"]["paths"])
+    store.commit(upsert={"documents": (rows([7], "new"), none)}, append={"log": rows([1], "a")})
+    after = set(store._manifest()["tables"]["documents"]["paths"])
+    assert len(before) == 8 and len(before & after) == 7 and len(after) == 8
+    held = {r.id: r.v for r in store.read("documents").collect()}
+    assert len(held) == 200 and held["7"] == "new" and held["8"] == "old"
+    store.commit(upsert={"documents": (rows([], ""), rows([7, 9], "").select("id"))}, append={"log": rows([2], "b")})
+    assert store.read("documents").count() == 198 and store.read("log").count() == 2
+    store.drop_before(1)
+    assert store.versions() == [3] and store.read("documents").count() == 198
+    assert store.read("nothing") is None
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([("a",)], "id string")
+    store.commit(replace={"documents": rows})
+    monkeypatch.setattr(Store, "current", lambda self: 1)
+    store.commit(replace={"documents": rows})
+    with pytest.raises(ConcurrentWrite):
+        store.commit(replace={"documents": rows.where("false")})
+    monkeypatch.undo()
+    assert store.read("documents").count() == 1
+
+
 def test_streaming(spark, tmp_path):
     from corpusmill.streaming.documents import apply_batch, arrivals, run_stream
 

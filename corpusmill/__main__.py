@@ -1,7 +1,8 @@
 """Command line: ``python -m corpusmill VERB``.
 
 ingest BASE STORE, bench STORE QUERIES, curate-triples STORE QUERIES OUT,
-validate-bench-queries STORE CANDIDATES OUT. Exit codes: 0 for success, 1 else.
+validate-bench-queries STORE CANDIDATES OUT, dump STORE OUT, restore DUMP
+STORE. Exit codes: 0 for success, 1 else.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from corpusmill.api import Corpus
+from corpusmill.operators.mining import survival
 from corpusmill.plans.ingest import ingest
 from corpusmill.session import build_session
 from corpusmill.settings import load_settings
 from corpusmill.sources import files
+from corpusmill.sources.dump import dump, restore
 from corpusmill.sources.store import Store
 
 
@@ -50,6 +53,14 @@ def main(args: list[str] | None = None) -> int:
         v.add_argument("out")
     verbs.choices["curate-triples"].add_argument("--negatives-per-query", type=int, default=4)
     verbs.choices["validate-bench-queries"].add_argument("--top-k", type=int, default=20)
+    verbs.choices["bench"].add_argument("--no-latency", action="store_true")
+    v = verbs.add_parser("dump")
+    v.add_argument("store")
+    v.add_argument("out")
+    v = verbs.add_parser("restore")
+    v.add_argument("dump")
+    v.add_argument("store")
+    v.add_argument("--sha256")
     given = parser.parse_args(args)
     spark = build_session()
     store = Store(spark, given.store)
@@ -60,26 +71,38 @@ def main(args: list[str] | None = None) -> int:
         )
         print(json.dumps(run, default=str))
         return 0 if run["status"] in ("success", "skipped") else 1
+    if given.verb == "dump":
+        print(json.dumps({"sha256": dump(store, given.out)}))
+        return 0
+    if given.verb == "restore":
+        print(json.dumps({"version": restore(spark, given.dump, store, given.sha256)}))
+        return 0
     settings = load_settings(given.settings)
-    corpus = Corpus(
-        spark, store.read("documents"), store.read("chunks"), store.read("ingest_runs"),
-        dimension=settings.embedding_dimension,
-    )
+    corpus = Corpus.open(spark, store, dimension=settings.embedding_dimension)
     if given.verb == "validate-bench-queries":
         rows = files.read_lines(spark, given.queries, files.CANDIDATE).where("query is not null")
         rows = rows.withColumn("query_id", F.xxhash64("query", "source_chunk_id")).dropDuplicates(["query_id"])
         kept = corpus.validate_queries(_asked(rows), given.top_k)
         kept = rows.join(kept.drop("source_chunk_id"), "query_id").withColumnRenamed("top_ids", "retriever_top10_chunk_ids")
         files.write_lines(kept.drop("query_id"), given.out)
-        return 0 if not files.read_lines(spark, given.out, files.CANDIDATE).isEmpty() else 1
-    queries = _asked(files.read_query_set(spark, given.queries)).withColumnRenamed(
+        left = files.read_lines(spark, given.out, files.CANDIDATE).count()
+        print(json.dumps(survival(left, rows.count())))
+        return 0 if left else 1
+    asked = files.read_query_set(spark, given.queries)
+    queries = _asked(asked).withColumnRenamed(
         "expect_any_of_chunk_ids", "expect_ids"
     )
     if given.verb == "curate-triples":
-        files.write_lines(corpus.curate_triples(queries, given.negatives_per_query), given.out)
+        rows, funnel = corpus.curate_triples(queries, given.negatives_per_query)
+        files.write_lines(rows, given.out)
+        print(json.dumps(funnel))
         return 0
     top_k = min(max(given.limit, 1), 50)
     row = corpus.bench(queries, top_k).first().asDict()
+    row["query_count"] = row.pop("queries")
+    row["query_set_version"] = asked.agg(F.max("version")).first()[0]
+    if not given.no_latency:
+        row |= corpus.latencies(queries, top_k)
     row |= {"date": datetime.now(timezone.utc).isoformat(), "label": given.label, "top_k": top_k}
     print(json.dumps(row))
     if given.history:

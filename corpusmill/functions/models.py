@@ -57,14 +57,75 @@ class HashEmbedder:
         return l2_normalised(out).astype(np.float32)
 
 
+def model_file(folder: str, precision: str = "fp16") -> str | None:
+    """The model of a folder: the half-precision one if it is wanted and there,
+    else the full one; None where there is neither."""
+    names = ("model_fp16.onnx", "model.onnx") if precision == "fp16" else ("model.onnx", "model_fp16.onnx")
+    return next((str(Path(folder) / n) for n in names if (Path(folder) / n).exists()), None)
+
+
+def model_folder(name: str, override: str | None = None, root: str = "models") -> str:
+    """Where a model's files are: ``override`` if it holds any, else below ``root``."""
+    if override and model_file(override):
+        return override
+    return str(Path(root) / name)
+
+
+class PieceTokenizer:
+    """A SentencePiece model with the ids of XLM-R.
+
+    The ids of that family have four special ones first (<s>, <pad>, </s>,
+    <unk>), so pieces stand one place later than in the SentencePiece model,
+    whose unknown piece 0 becomes <unk>.
+    """
+
+    SPECIAL = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3}
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    @classmethod
+    def remapped(cls, pieces: list[int]) -> list[int]:
+        return [cls.SPECIAL["<unk>"] if p == 0 else p + 1 for p in pieces]
+
+    def ids(self, text: str) -> list[int]:
+        return self.remapped(self.model.encode(text))
+
+    def token_to_id(self, token: str) -> int:
+        return self.SPECIAL[token]
+
+
+class WordPieceTokenizer:
+    """``tokenizer.json`` of a folder, or BERT word pieces from its ``vocab.txt``."""
+
+    def __init__(self, folder: str):
+        from tokenizers import BertWordPieceTokenizer, Tokenizer
+
+        whole = Path(folder) / "tokenizer.json"
+        if whole.exists():
+            self.tokenizer = Tokenizer.from_file(str(whole))
+        else:
+            self.tokenizer = BertWordPieceTokenizer(str(Path(folder) / "vocab.txt"), lowercase=True)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def token_to_id(self, token: str) -> int:
+        return self.tokenizer.token_to_id(token)
+
+
 class OnnxEmbedder:
-    """A sentence embedder from ``model.onnx`` and ``tokenizer.json``."""
+    """A sentence embedder from a model file and ``tokenizer.json``."""
 
-    def __init__(self, folder: str, query_prefix: str = "", max_tokens: int = 512, batch: int = 32):
+    def __init__(
+        self, folder: str, query_prefix: str = "", max_tokens: int = 512, batch: int = 32, precision: str = "fp16"
+    ):
         import onnxruntime
         from tokenizers import Tokenizer
 
-        self.session = onnxruntime.InferenceSession(str(Path(folder) / "model.onnx"))
+        self.session = onnxruntime.InferenceSession(model_file(folder, precision))
         self.tokenizer = Tokenizer.from_file(str(Path(folder) / "tokenizer.json"))
         self.tokenizer.enable_truncation(max_tokens)
         self.tokenizer.enable_padding()
@@ -92,10 +153,10 @@ class OnnxReranker:
 
     def __init__(self, folder: str, family: str, max_tokens: int = 512, batch: int = 8):
         import onnxruntime
-        from tokenizers import Tokenizer
 
-        self.session = onnxruntime.InferenceSession(str(Path(folder) / "model.onnx"))
-        self.tokenizer = Tokenizer.from_file(str(Path(folder) / "tokenizer.json"))
+        self.session = onnxruntime.InferenceSession(model_file(folder, "fp32"))
+        pieces = Path(folder) / "sentencepiece.bpe.model"
+        self.tokenizer = PieceTokenizer(str(pieces)) if pieces.exists() else WordPieceTokenizer(folder)
         self.family, self.max_tokens, self.batch = family, max_tokens, batch
         self.special = 3 if family == "bert" else 4
 
@@ -110,11 +171,11 @@ class OnnxReranker:
         return ids, [0] * (len(query) + 1 + len(middle)) + [1] * (len(text) + 1)
 
     def __call__(self, query: str, texts: list[str]) -> list[float]:
-        q = self.tokenizer.encode(query, add_special_tokens=False).ids
+        q = self.tokenizer.ids(query)
         out: list[float] = []
         for at in range(0, len(texts), self.batch):
             pairs = [
-                self.pair(q, self.tokenizer.encode(t, add_special_tokens=False).ids)
+                self.pair(q, self.tokenizer.ids(t))
                 for t in texts[at : at + self.batch]
             ]
             longest = max(len(p[0]) for p in pairs)
@@ -134,7 +195,7 @@ class OnnxReranker:
 
 def reranker_family(folder: str | None) -> str:
     """'missing', 'xlm-r' or 'bert', by the files in a model folder."""
-    if not folder or not os.path.exists(os.path.join(folder, "model.onnx")):
+    if not folder or model_file(folder) is None:
         return "missing"
     if os.path.exists(os.path.join(folder, "sentencepiece.bpe.model")):
         return "xlm-r"
@@ -244,3 +305,105 @@ class Cache:
                     self.held.popitem(last=False)
             self.held[key] = make()
         return self.held[key]
+
+
+class Guarded:
+    """A call to a model service behind a breaker and a cache.
+
+    An open breaker and a failing call give None; only answers are kept. Each
+    worker that uses it has a breaker and a cache of its own.
+    """
+
+    def __init__(self, call: Callable[[str], str | None], breaker: Breaker | None = None, cache: Cache | None = None):
+        self.call, self.breaker, self.cache = call, breaker or Breaker(), cache or Cache()
+
+    def __call__(self, text: str) -> str | None:
+        if text in self.cache.held:
+            return self.cache.get(text, lambda: None)
+        if self.breaker.open:
+            return None
+        try:
+            answer = self.call(text)
+        except Exception:  # noqa: BLE001 - whatever fails counts against the service
+            self.breaker.failure()
+            return None
+        self.breaker.succeeded()
+        return self.cache.get(text, lambda: answer) if answer else answer
+
+
+def chat_client(url: str, model: str, seconds: float = 10, most_tokens: int = 200) -> Callable[[str], str | None]:
+    """A call to a chat-completions service; what the service answers, or an error."""
+    import json
+    import urllib.request
+
+    def call(text: str) -> str | None:
+        body = {
+            "model": model, "temperature": 0, "max_tokens": most_tokens,
+            "messages": [{"role": "user", "content": text}],
+        }
+        request = urllib.request.Request(
+            url, json.dumps(body).encode(), {"Content-Type": "application/json"}
+        )
+        with urllib.request.urlopen(request, timeout=seconds) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"]
+
+    return call
+
+
+def hypothetical_answers(factory: Callable[[], Callable[[str], str | None]]) -> Callable[[Column], Column]:
+    """The text to embed instead of a query: a passage that might answer it.
+
+    ``factory`` builds the guarded service once per worker; without an answer
+    the query stays as it is.
+    """
+    ask = "Write a short passage of a manual that answers the question.\n\nQuestion: {}"
+
+    def column(c: Column) -> Column:
+        @F.pandas_udf(T.StringType())
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            service = factory()
+            for texts in batches:
+                yield texts.map(
+                    lambda q: None if q is None else rewritten(q, lambda text: service(ask.format(text)))
+                )
+
+        return run(c)
+
+    return column
+
+
+def listwise_with(factory: Callable[[], Callable[[str], str | None]]) -> Callable[[DataFrame], DataFrame]:
+    """Permutations of the first rows of each query, by a judge that never fails.
+
+    The rows (query_id, position, chunk_id, text, rerank_text) of a query are a
+    handful, so a group is one prompt. Without a usable answer there is no
+    permutation and the order stays.
+    """
+
+    def judged(pdf: pd.DataFrame, service: Callable[[str], str | None]) -> list[int]:
+        rows = pdf.sort_values("position")
+        prompt = listwise_prompt(rows["text"].iloc[0], rows["rerank_text"].fillna("").tolist())
+        try:
+            order = listwise_order(service(prompt), len(rows))
+        except Exception:  # noqa: BLE001 - a failing judge leaves the order
+            order = []
+        return [int(rows["chunk_id"].iloc[k]) for k in order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service = factory()
+        for pdf in batches:
+            ids = [
+                judged(pd.DataFrame(list(rows)), service) for rows in pdf["rows"]
+            ]
+            yield pd.DataFrame({"query_id": pdf["query_id"], "ids": ids})
+
+    def permutations(head: DataFrame) -> DataFrame:
+        row = F.struct("position", "chunk_id", "text", "rerank_text")
+        return (
+            head.groupBy("query_id")
+            .agg(F.collect_list(row).alias("rows"))
+            .mapInPandas(run, "query_id bigint, ids array<bigint>")
+            .where(F.size("ids") > 0)
+        )
+
+    return permutations

@@ -49,6 +49,36 @@ def triples(results: DataFrame, negatives: int = 4) -> DataFrame:
     )
 
 
+def triple_rows(results: DataFrame, queries: DataFrame, negatives: int = 4) -> DataFrame:
+    """``(query, positive, negatives)``: :func:`triples` as training rows.
+
+    ``results`` also has document_slug, document_title, page_start, page_end
+    and content, ``queries`` query_id and text. The texts are joined to the
+    few chunks of the triples.
+    """
+    entry = F.struct(
+        "document_id", "document_slug", "document_title", "product", "chunk_id", "page_start",
+        "page_end", F.col("content").alias("text"),
+    )
+    held = results.select("query_id", "chunk_id", entry.alias("entry"))
+    named = triples(results, negatives).select(
+        "query_id",
+        F.posexplode(F.concat(F.array("positive.chunk_id"), "negatives")).alias("place", "chunk_id"),
+    )
+    rows = named.join(held, ["query_id", "chunk_id"]).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "entry"))).alias("e")
+    )
+    return rows.join(queries.select("query_id", F.col("text").alias("query")), "query_id").select(
+        "query", F.col("e")[0]["entry"].alias("positive"), F.slice(F.col("e.entry"), 2, negatives).alias("negatives")
+    )
+
+
+def survival(kept: int, total: int) -> dict[str, object]:
+    """Counts of the reachability filter, with the share that is left in percent."""
+    share = round(100 * kept / total, 2) if total else 0.0
+    return {"kept": kept, "dropped": total - kept, "survival_percent": share}
+
+
 def curation_statistics(results: DataFrame, queries: DataFrame, negatives: int = 4) -> DataFrame:
     """One row: queries, without results, without positive, without enough
     negatives, kept."""

@@ -17,6 +17,8 @@ from corpusmill.operators.topk import search as blocked_search
 from corpusmill.session import materialise
 
 DIGITS = 6
+#: Rows that a listwise judge puts in order.
+LISTWISE_HEAD = 5
 
 
 @dataclass(frozen=True)
@@ -339,7 +341,7 @@ def apply_rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def reorder_listwise(ranked: DataFrame, permutations: DataFrame, head: int = 5) -> DataFrame:
+def reorder_listwise(ranked: DataFrame, permutations: DataFrame, head: int = LISTWISE_HEAD) -> DataFrame:
     """Put the first ``head`` rows into the order that a listwise judge gave.
 
     ``permutations``: query_id, ids. Ids outside the head are ignored, rows the
@@ -382,6 +384,40 @@ def limited(ranked: DataFrame, limit: int) -> DataFrame:
 # ---------------------------------------------------------------- whole search
 
 
+Side = Callable[[DataFrame, int], DataFrame]
+
+
+def sides(
+    chunks: DataFrame,
+    queries: DataFrame,
+    tokens: Callable[[Column], Column],
+    opt: SearchOptions = SearchOptions(),
+    variants: DataFrame | None = None,
+    dimension: int = 64,
+    dense: Side | None = None,
+    sparse: Side | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Hits of the dense and of the sparse side.
+
+    ``dense`` and ``sparse`` search an index for (queries, k); without them all
+    chunks are scanned.
+    """
+    dense = dense or (lambda q, k: dense_topk(chunks, q, k, dimension))
+    sparse = sparse or (lambda q, k: bm25_topk(chunks, q, k, tokens, opt.k1, opt.b))
+    if variants is None:
+        near = dense(queries, opt.pool)
+    else:
+        named = variants.join(queries.select("query_id", "category", "product"), "query_id")
+        # a number of its own for each variant: ids of queries may use all 64 bits
+        named = materialise(
+            named.withColumn("_q", F.monotonically_increasing_id()), "variants"
+        )
+        flat = named.select(F.col("_q").alias("query_id"), "embedding", "category", "product")
+        hits = dense(flat, opt.pool).withColumnRenamed("query_id", "_q")
+        near = union_best_rank(hits.join(named.select("_q", "query_id", "variant"), "_q").drop("_q"))
+    return near, sparse(queries, opt.pool)
+
+
 def search(
     chunks: DataFrame,
     queries: DataFrame,
@@ -391,7 +427,10 @@ def search(
     listwise: Callable[[DataFrame], DataFrame] | None = None,
     variants: DataFrame | None = None,
     dimension: int = 64,
-) -> DataFrame:
+    dense: Side | None = None,
+    sparse: Side | None = None,
+    diagnose: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The whole pipeline over a set of queries.
 
     ``chunks``: the chunk table joined with its documents' category, product,
@@ -399,42 +438,40 @@ def search(
     product. ``variants`` (query_id, variant, embedding) replaces the dense
     side by the union of its lists. ``rerank`` gives (query_id, chunk_id,
     rerank_score) for hydrated candidates, ``listwise`` permutations for the
-    first rows; both default to keeping the order. A query above 4000
-    characters has no results.
+    first rows (query_id, position, chunk_id, text, rerank_text); both default
+    to keeping the order. A query above 4000 characters has no results. With
+    ``diagnose`` the :func:`diagnostics` of the queries are given as well.
     """
     queries = queries.where(F.length("text") <= 4000)
-    if variants is None:
-        dense = dense_topk(chunks, queries, opt.pool, dimension)
-    else:
-        named = variants.join(queries.select("query_id", "category", "product"), "query_id")
-        # a number of its own for each variant: ids of queries may use all 64 bits
-        named = materialise(
-            named.withColumn("_q", F.monotonically_increasing_id()), "variants"
-        )
-        flat = named.select(F.col("_q").alias("query_id"), "embedding", "category", "product")
-        hits = dense_topk(chunks, flat, opt.pool, dimension).withColumnRenamed("query_id", "_q")
-        hits = hits.join(named.select("_q", "query_id", "variant"), "_q").drop("_q")
-        dense = union_best_rank(hits)
-    sparse = bm25_topk(chunks, queries, opt.pool, tokens, opt.k1, opt.b)
-    candidates = cut_to_depth(fuse(dense, sparse, opt.rrf_k), opt)
+    near, said = sides(chunks, queries, tokens, opt, variants, dimension, dense, sparse)
+    fused = fuse(near, said, opt.rrf_k)
+    if diagnose:
+        near, said = materialise(near, "dense"), materialise(said, "sparse")
+        fused = materialise(fuse(near, said, opt.rrf_k), "fused")
+    candidates = cut_to_depth(fused, opt)
     candidates = materialise(candidates, "candidates")  # a few rows per query, read several times
+    asked = queries.select("query_id", "text")
     if rerank is None:
         scores = noop_scores(candidates)
     else:
-        texts = hydrate(candidates, chunks).join(queries.select("query_id", "text"), "query_id")
-        scores = rerank(texts)
+        scores = rerank(hydrate(candidates, chunks).join(asked, "query_id"))
     ordered = apply_rerank(candidates, scores)
     if listwise is not None:
-        ordered = reorder_listwise(ordered, listwise(ordered))
+        ordered = materialise(ordered, "ordered")
+        head = hydrate(ordered.where(F.col("position") <= LISTWISE_HEAD), chunks).join(asked, "query_id")
+        ordered = reorder_listwise(ordered, listwise(head), LISTWISE_HEAD)
     facts = chunks.where("chunk_kind = 'leaf'").select(
         F.col("id").alias("chunk_id"), "document_id", "document_title", "document_slug",
         "category", "product", "version", "section_title", "page_start", "page_end",
         F.col("raw_content").alias("content"),
     )
-    found = ordered.join(facts, "chunk_id")
+    # the few chunks of the results are picked before their documents are joined
+    wanted = ordered.select("chunk_id").distinct()
+    found = ordered.join(facts.join(wanted, "chunk_id", "left_semi"), "chunk_id")
     if opt.dedup_sections:
         found = one_per_section(found)
-    return limited(found, opt.limit)
+    found = limited(found, opt.limit)
+    return (found, diagnostics(near, said, fused, opt)) if diagnose else found
 
 
 def diagnostics(dense: DataFrame, sparse: DataFrame, fused: DataFrame, opt: SearchOptions) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from corpusmill.functions import text
 from corpusmill.functions.analyze import stemmed_tokens
 from corpusmill.functions.query import ACRONYMS, OPENINGS, annotated, query_variants
-from corpusmill.operators import catalog, evaluate, ingest, mining, retrieval
+from corpusmill.operators import catalog, dense_index, evaluate, ingest, mining, retrieval, sparse_index
 from corpusmill.operators.chunking import ChunkOptions, chunk_documents
 from corpusmill.operators.retrieval import SearchOptions
 from corpusmill.operators.sections import split_sections, stamp_pages
@@ -210,6 +210,32 @@ def dense_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.dense_topk(chunk_table(spark, folder), held_queries(spark, folder), 50)
 
 
+@query(
+    f"with {_K}, "
+    + _dense_sql("select id as query_id, v from vec where id % 50 = 0", k=10)
+    + " select count(distinct query_id) as queries, count(*) as neighbours, true as recall_reached from dense"
+)
+def dense_index_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the index finds nine tenths of the ten exact neighbours of the
+    stated query set, itself included, over all rows."""
+    none = F.lit(None).cast("string")
+    chunks = chunk_table(spark, folder)
+    asked = materialise(
+        held_queries(spark, folder).withColumns({"category": none, "product": none}), "queries"
+    )
+    rows = materialise(chunks.drop("content", "raw_content"), "vectors")
+    centres = dense_index.train(rows, 64)
+    held = materialise(dense_index.assigned(rows, centres, 64), "cells")
+    found = dense_index.DenseIndex(centres, lambda cells: held).topk(asked, 10)
+    exact = retrieval.dense_topk(rows, asked, 10)
+    both = exact.join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"),
+        F.count("*").alias("neighbours"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"),
+    )
+
+
 def _tokens(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_table(spark, folder).select("id", text.lower_tokens(F.col("content")).alias("tokens"))
 
@@ -239,6 +265,31 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25_topk(chunk_table(spark, folder), mined(spark, folder), 50, text.lower_tokens)
 
 
+def _bench_queries(spark: SparkSession, folder: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    asked = table(spark, folder, "bench_items").groupBy(F.col("item_id").alias("query_id")).agg(
+        F.min("query").alias("text"),
+        F.min("expect_any").alias("expect_any"),
+        F.min("expect_product").alias("expect_product"),
+    )
+    return asked.withColumns({"category": none, "product": none})
+
+
+@query(
+    f"with {_K}, mq as (select item_id as query_id, min(query) as text, min(expect_product) as expect_product "
+    f"from bench_items group by 1), {_sparse_sql(k=10)} select * from sparse"
+)
+def bm25_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """All evaluation items from an inverted index, which is written in two
+    segments: all chunks, then those of one category over again."""
+    chunks = chunk_table(spark, folder)
+    again = materialise(chunks.where("category = 'manual'"), "again")
+    first = sparse_index.changes(chunks, None, text.lower_tokens, 1)
+    second = sparse_index.changes(again, again, text.lower_tokens, 2)
+    tables = {t: materialise(first[t].unionByName(second[t]), t) for t in sparse_index.TABLES}
+    return sparse_index.SparseIndex.of(tables).topk(_bench_queries(spark, folder), 10, text.lower_tokens)
+
+
 @query()
 def bm25_topk_stemmed(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25_topk(chunk_table(spark, folder), mined(spark, folder), 50, stemmed_tokens)
@@ -858,20 +909,13 @@ _REL = """(coalesce(lower({p}) = lower(ct.product), false)
 )
 def bench_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     """All evaluation items, searched by their query's words."""
-    none = F.lit(None).cast("string")
-    asked = table(spark, folder, "bench_items").groupBy(F.col("item_id").alias("query_id")).agg(
-        F.min("query").alias("text"),
-        F.min("expect_any").alias("expect_any"),
-        F.min("expect_product").alias("expect_product"),
-    )
+    asked = _bench_queries(spark, folder)
     chunks = chunk_table(spark, folder)
-    hits = retrieval.bm25_topk(
-        chunks, asked.withColumns({"category": none, "product": none}), 10, text.lower_tokens
-    )
+    hits = retrieval.bm25_topk(chunks, asked, 10, text.lower_tokens)
     facts = chunks.select(F.col("id").alias("chunk_id"), "product", "document_slug", "document_title")
     results = (
         hits.join(facts, "chunk_id")
-        .join(asked, "query_id")
+        .join(asked.drop("category", "product"), "query_id")
         .select(
             "query_id",
             F.col("rank").alias("position"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusmill.functions.analyze import stemmed_tokens
 from corpusmill.functions.models import Embedder, HashEmbedder, embed
-from corpusmill.operators import ingest as steps
+from corpusmill.operators import dense_index, ingest as steps, sparse_index
 from corpusmill.operators.chunking import ChunkOptions, chunk_documents
 from corpusmill.operators.sections import split_sections, stamp_pages
 from corpusmill.session import materialise, release
@@ -37,6 +39,20 @@ def prepare(
     return judged, chunk_documents(ok, opt=opt)
 
 
+def _vectors(
+    store: Store, fresh: DataFrame, dimension: int, segment: int
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Rows of the vector index, and its centroids where the store has none."""
+    held = store.read("centroids")
+    if held is not None:
+        rows = held.orderBy("cell").collect()  # at most dense_index.MOST_CELLS
+        return dense_index.assigned(fresh, np.array([r["v"] for r in rows]), dimension, segment), {}
+    centres = dense_index.train(fresh, dimension)
+    rows = [(k, v.tolist()) for k, v in enumerate(centres)]
+    table = store.spark.createDataFrame(rows, "cell int, v array<double>")
+    return dense_index.assigned(fresh, centres, dimension, segment), {"centroids": table}
+
+
 def ingest(
     spark: SparkSession,
     base: str,
@@ -49,6 +65,8 @@ def ingest(
     category: str | None = None,
     prune: bool = False,
     opt: ChunkOptions = ChunkOptions(),
+    tokens: Callable[[Column], Column] = stemmed_tokens,
+    dimension: int = 64,
 ) -> dict[str, object]:
     """Bring ``store`` up to the catalog at ``base``; the run's log row.
 
@@ -56,7 +74,10 @@ def ingest(
     unchanged documents one by one; ``force`` does neither. A dry run writes
     nothing, so it never makes the next run skip. Errors are kept as rows of
     the table ``outcomes``, all of them. With ``prune``, documents that the
-    catalog does not name any more go, with their chunks.
+    catalog does not name any more go, with their chunks. The inverted index
+    and the vector index get one segment each in the same version of the store;
+    ``tokens`` is the analyser, which searches must share, and the first run's
+    vectors make the cells.
     """
     started = datetime.now(timezone.utc)
     digest = files.file_digests(spark, f"{base}/{catalog}").first()["sha256"]
@@ -114,8 +135,21 @@ def ingest(
             ],
             RUN,
         )
+        facts = new.select(F.col("id").alias("document_id"), "category", "product")
+        none = F.lit(None).cast("string")
+        removed = None
+        if chunks is not None:
+            stored = store.read("chunks", gone_chunks).join(gone_chunks, "document_id", "left_semi")
+            removed = stored.withColumns({"category": none, "product": none})
+        index = sparse_index.changes(
+            fresh.join(facts, "document_id"), removed, tokens, (store.current() or 0) + 1
+        )
+        index["vectors"], centroids = _vectors(
+            store, fresh.join(facts, "document_id"), dimension, (store.current() or 0) + 1
+        )
         store.commit(
-            append={"ingest_runs": log, "outcomes": outcomes},
+            replace=centroids,
+            append={"ingest_runs": log, "outcomes": outcomes, **index},
             upsert={"documents": (new, gone_documents), "chunks": (fresh, gone_chunks)},
         )
         release(gone_documents)

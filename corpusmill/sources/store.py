@@ -17,10 +17,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Key of each table that is kept in buckets.
-KEYS = {"documents": "id", "chunks": "document_id"}
+KEYS = {"documents": "id", "chunks": "document_id", "postings": "term", "freq": "term",
+        "vectors": "cell"}
 BUCKETS = 64
 
 
+def _number(path: str) -> int:
+    return int(path.rsplit("=", 1)[1])
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer made the next version first; read again and repeat."""
 
@@ -64,10 +69,23 @@ class Store:
             return self.spark.createDataFrame([], held["schema"])
         return self.spark.read.schema(held["schema"]).parquet(*paths)
 
-    def read(self, table: str) -> DataFrame | None:
-        """A table of the current version, None if there is none."""
+    def read(self, table: str, keys: DataFrame | None = None) -> DataFrame | None:
+        """A table of the current version, None if there is none.
+
+        With ``keys`` (one column) only the buckets that hold them.
+        """
         held = (self._manifest() or {"tables": {}})["tables"].get(table)
-        return None if held is None else self._frame(held)
+        if held is None:
+            return None
+        if keys is not None and table in KEYS:
+            wanted = self._buckets(keys)
+            held = held | {"paths": [p for p in held["paths"] if _number(p) in wanted]}
+        return self._frame(held)
+
+    def _buckets(self, keys: DataFrame) -> set[int]:
+        """The buckets of ``keys``; at most as many as the store has."""
+        number = self.bucket(F.col(keys.columns[0]))
+        return {r[0] for r in keys.select(number).distinct().collect()}
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -119,12 +137,11 @@ class Store:
                 tables[table] = self._write(table, rows)
                 continue
             keys = rows.select(key).unionByName(gone.select(key)).distinct()
-            touched = {r[0] for r in keys.select(self.bucket(F.col(key))).distinct().collect()}  # <= buckets
-            number = lambda path: int(path.rsplit("=", 1)[1])
-            mine = held | {"paths": [p for p in held["paths"] if number(p) in touched]}
+            touched = self._buckets(keys)
+            mine = held | {"paths": [p for p in held["paths"] if _number(p) in touched]}
             kept = self._frame(mine).join(keys, key, "left_anti")
             new = self._write(table, kept.unionByName(rows, allowMissingColumns=True))
-            others = [p for p in held["paths"] if number(p) not in touched]
+            others = [p for p in held["paths"] if _number(p) not in touched]
             tables[table] = new | {"paths": others + new["paths"]}
         n = (before or 0) + 1
         staged = self._path(f"{self.root}/data/manifest-{uuid.uuid4().hex}")

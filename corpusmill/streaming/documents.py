@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.operators import ingest as steps
+from corpusmill.functions.analyze import stemmed_tokens
+from corpusmill.operators import ingest as steps, sparse_index
 from corpusmill.operators.chunking import ChunkOptions, chunk_documents
 from corpusmill.operators.sections import split_sections
+from corpusmill.session import materialise, release
 from corpusmill.sources.store import Store
 
 ARRIVAL = "id STRING, title STRING, text STRING, category STRING, product STRING, pdf_sha256 STRING, arrived_at TIMESTAMP"
@@ -42,14 +44,21 @@ def apply_batch(store: Store, batch: DataFrame, number: int, opt: ChunkOptions =
     fresh = chunk_documents(judged.withColumnRenamed("id", "document_id"), opt=opt)
     rows = judged.drop("sections", "state")
     mark = batch.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("batch"))
-    none = rows.select("id").where("false")
+    replaced = materialise(rows.select(F.col("id").alias("document_id")), "stream-documents")
+    facts = rows.select(F.col("id").alias("document_id"), "category", "product")
+    none = F.lit(None).cast("string")
+    removed = None
+    if stored is not None:
+        removed = store.read("chunks", replaced).join(replaced, "document_id", "left_semi")
+        removed = removed.withColumns({"category": none, "product": none})
+    index = sparse_index.changes(
+        fresh.join(facts, "document_id"), removed, stemmed_tokens, (store.current() or 0) + 1
+    )
     store.commit(
-        append={"batches": mark},
-        upsert={
-            "documents": (rows, none),
-            "chunks": (fresh, rows.select(F.col("id").alias("document_id"))),
-        },
+        append={"batches": mark, **index},
+        upsert={"documents": (rows, rows.select("id").where("false")), "chunks": (fresh, replaced)},
     )
+    release(replaced)
 
 
 def run_stream(stream: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -164,5 +164,12 @@ def test_multi_query_and_bench(spark, corpus):
     assert [x.document_id for x in found] == ["evpn", "ospf", "ospf"]
     row = corpus.bench(q).first()
     assert (row.queries, row.top1_hit_rate, row.topk_hit_rate) == (3, 66.67, 100.0)
-    assert corpus.curate_triples(q, 2).count() == 3
+    rows, funnel = corpus.curate_triples(q, 2)
+    assert rows.count() == funnel["kept"] == 3
+    assert {len(r.negatives) for r in rows.collect()} == {2}
+    huge = q.withColumn("query_id", F.lit(2**62) + F.col("query_id"))
+    assert {r.query_id for r in corpus.search(huge, multi_query=True).collect()} == {2**62 + k for k in range(3)}
+    picked = corpus.search(q, listwise=lambda head: head.where("position = 2").groupBy("query_id").agg(F.collect_list("chunk_id").alias("ids")))
+    plain = {(r.query_id, r.position): r.chunk_id for r in corpus.search(q).collect()}
+    assert {r.query_id: r.chunk_id for r in picked.where("position = 1").collect()} == {k: plain[k, 2] for k in range(3)}
     assert corpus.validate_queries(q).where("query_id = 1").first().retriever_rank == 0

@@ -19,7 +19,7 @@ from corpusmill.functions.query import annotated, query_variants
 from corpusmill.operators import catalog, evaluate, mining, retrieval
 from corpusmill.operators.dense_index import DenseIndex
 from corpusmill.operators.retrieval import SearchOptions
-from corpusmill.operators.sparse_index import MOST_QUERIES, SparseIndex
+from corpusmill.operators.sparse_index import SparseIndex
 from corpusmill.session import materialise
 from corpusmill.sources.store import Store
 
@@ -87,9 +87,7 @@ class Corpus:
 
         Acronyms are explained first. ``rewrite`` changes the text that is
         embedded, and only that; with ``multi_query`` each variant of it is
-        searched on the dense side and the lists are united. Sets of at most
-        MOST_QUERIES queries are answered from the inverted index, larger ones
-        by a scan of the chunks; both give the same.
+        searched on the dense side and the lists are united.
         """
         asked = queries.withColumn("text", annotated(F.col("text")))
         dense_text = F.col("text") if rewrite is None else rewrite(F.col("text"))
@@ -103,7 +101,7 @@ class Corpus:
         dense = sparse = None
         if self.dense_index is not None:
             dense = self.dense_index.topk
-        if self.sparse_index is not None and asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        if self.sparse_index is not None:
             sparse = lambda q, k: self.sparse_index.topk(q, k, self.tokens, opt.k1, opt.b)
         return retrieval.search(
             self._joined(), asked, self.tokens, opt, self.rerank, listwise, variants, self.dimension,

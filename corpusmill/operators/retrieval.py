@@ -137,6 +137,41 @@ def postings(tokens: DataFrame) -> DataFrame:
     )
 
 
+class Weights:
+    """The weighted terms of a block of queries: (query, [(term, idf)])."""
+
+    def __init__(self, block: list):
+        places: dict[str, tuple[list, list]] = {}
+        for at, (_, terms) in enumerate(block):
+            for t in terms:
+                x = places.setdefault(t["term"], ([], []))
+                x[0].append(at)
+                x[1].append(t["idf"])
+        self.queries = len(block)
+        self.number = {t: k for k, t in enumerate(places)}
+        self.asking = [np.array(x[0]) for x in places.values()]
+        self.weight = [np.array(x[1]) for x in places.values()]
+
+    def scores(self, terms: pa.Array, row: np.ndarray, part: np.ndarray, rows: int) -> np.ndarray:
+        """Scores, queries x rows, -inf where no term is shared; ``part`` is
+        what each (term, row) adds but for the term's weight."""
+        out = np.zeros((rows, self.queries))
+        coded = terms.dictionary_encode()
+        known = np.array([self.number.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+        if len(known):
+            term = known[coded.indices.to_numpy()]
+            order = np.argsort(term, kind="stable")
+            order = order[term[order] >= 0]
+            term, row, part = term[order], row[order], part[order]
+            cuts = np.flatnonzero(np.diff(term)) + 1
+            # one update per term: its rows times the queries that ask for it
+            for r, p, t in zip(np.split(row, cuts), np.split(part, cuts), term[np.r_[0, cuts]] if len(term) else ()):
+                out[r[:, None], self.asking[t][None, :]] += p[:, None] * self.weight[t][None, :]
+        out = np.round(out.T, DIGITS)
+        out[out <= 0] = -np.inf
+        return out
+
+
 def bm25_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -180,35 +215,18 @@ def bm25_topk(
     )
 
     def scorer(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
-        places: dict[str, tuple[list, list]] = {}
-        for at, q in enumerate(block):
-            for t in q[1]:
-                x = places.setdefault(t["term"], ([], []))
-                x[0].append(at)
-                x[1].append(t["idf"])
-        number, filters = {t: k for k, t in enumerate(places)}, Filters(block)
-        asking = [np.array(x[0]) for x in places.values()]
-        weight = [np.array(x[1]) for x in places.values()]
+        weights, filters = Weights([(q[0], q[1]) for q in block]), Filters(block)
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
             rows = batch.num_rows
-            out = np.zeros((rows, len(block)))
-            held_terms = batch.column(1)
-            dl = held_terms.value_lengths().to_numpy(zero_copy_only=False)
-            coded = held_terms.flatten().dictionary_encode()
-            known = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
-            if len(known):
-                term = known[coded.indices.to_numpy()]
-                row = np.repeat(np.arange(rows), dl)
-                key, tf = np.unique((term * rows + row)[term >= 0], return_counts=True)
-                term, row = key // rows, key % rows
-                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-                cuts = np.flatnonzero(np.diff(term)) + 1
-                # one update per term: its rows times the queries that ask for it
-                for r, p, t in zip(np.split(row, cuts), np.split(part, cuts), term[np.r_[0, cuts]] if len(term) else ()):
-                    out[r[:, None], asking[t][None, :]] += p[:, None] * weight[t][None, :]
-            out = np.round(out.T, DIGITS)
-            out[out <= 0] = -np.inf
+            dl = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            coded = batch.column(1).flatten().dictionary_encode()
+            terms = max(1, len(coded.dictionary))
+            row = np.repeat(np.arange(rows), dl)
+            key, tf = np.unique(row * terms + coded.indices.to_numpy(), return_counts=True)
+            row = key // terms
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            out = weights.scores(coded.dictionary.take(pa.array(key % terms)), row, part, rows)
             return filters.masked(out, batch, 2)
 
         return score

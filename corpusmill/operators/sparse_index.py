@@ -17,17 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.operators.retrieval import DIGITS
-from corpusmill.operators.topk import ranked
+from corpusmill.operators.retrieval import DIGITS, Filters, Weights
+from corpusmill.operators.topk import ranked, search
+from corpusmill.session import materialise
 
 TABLES = ("postings", "freq", "stats", "gone")
 POSTINGS = (
     "id bigint, document_id string, chunk_kind string, category string, product string, "
     "segment bigint, dl int, term string, tf int"
 )
-#: Most queries that are answered from the postings; a larger set scans the
-#: chunks once instead, as its frequent terms would multiply with the queries.
-MOST_QUERIES = 512
+#: Most queries whose terms are joined with the postings; in a larger set the
+#: frequent terms would multiply with the queries that ask for them.
+MOST_JOINED = 32
+#: Most terms that are named to the scan, which then skips pages without them.
+MOST_NAMED = 256
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,41 +110,79 @@ class SparseIndex:
     ) -> DataFrame:
         """As :func:`corpusmill.operators.retrieval.bm25_topk`, from the index.
 
-        For query sets up to MOST_QUERIES. The postings of the queries' terms
-        meet the weighted terms, which are few and broadcast by their size, and
-        partial scores combine before the shuffle.
+        Only the buckets of the queries' terms are read. The postings of a few
+        queries are joined with their weighted terms, and partial scores
+        combine before the shuffle. For more queries the postings of all their
+        terms are put together by chunk once per block of queries, and scored
+        for the whole block.
         """
         asked = queries.select(
-            "query_id", "category", "product", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
+            "query_id", "category", "product", F.array_distinct(tokens(F.col("text"))).alias("terms")
         )
-        terms = asked.select("term").distinct()
+        split = asked.select("query_id", "category", "product", F.explode("terms").alias("term"))
+        terms = materialise(split.select("term").distinct(), "terms")
         stats = self.read("stats", None).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
         n, avgdl = stats["n"] or 0, (stats["total"] or 0) / max(stats["n"] or 0, 1) or 1.0
-        df = (
-            self.read("freq", terms)
-            .join(F.broadcast(terms), "term", "left_semi")
-            .groupBy("term")
-            .agg(F.sum("df").alias("df"))
-        )
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighted = asked.join(df, "term").select(
-            "query_id", "term", idf.alias("idf"), F.col("category").alias("c"), F.col("product").alias("p")
-        )
-        last = self.read("gone", None).groupBy("document_id").agg(F.max("segment").alias("gone"))
-        held = (
-            self.read("postings", terms)
-            .where("chunk_kind = 'leaf'")
-            .join(weighted, "term")
-            .where("(c is null or c = category) and (p is null or p = product)")
-            .join(last, "document_id", "left")
-            .where("gone is null or segment >= gone")
-        )
+        named = [r[0] for r in terms.limit(MOST_NAMED + 1).collect()]
+
+        def of_terms(table: str) -> DataFrame:
+            rows = self.read(table, terms)
+            return rows.where(F.col("term").isin(named)) if len(named) <= MOST_NAMED else rows.join(
+                terms, "term", "left_semi"
+            )
+
+        df = of_terms("freq").groupBy("term").agg(F.sum("df").alias("df"))
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+        weighted = split.join(df, "term").select("query_id", "category", "product", "term", idf)
+        held = of_terms("postings").where("chunk_kind = 'leaf'")
+        gone = self.read("gone", None)
+        if not gone.isEmpty():
+            last = gone.groupBy("document_id").agg(F.max("segment").alias("gone"))
+            held = held.join(last, "document_id", "left").where("gone is null or segment >= gone")
+        if queries.limit(MOST_JOINED + 1).count() > MOST_JOINED:
+            return self._in_blocks(held, weighted, k, avgdl, k1, b)
+        wish = weighted.select("query_id", "term", "idf", F.col("category").alias("c"), F.col("product").alias("p"))
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (
             F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl)))
         )
         hits = (
-            held.groupBy("query_id", F.col("id").alias("chunk_id"))
+            held.join(wish, "term")
+            .where("(c is null or c = category) and (p is null or p = product)")
+            .groupBy("query_id", F.col("id").alias("chunk_id"))
             .agg(F.round(F.sum(part), DIGITS).alias("score"))
             .where("score > 0")
         )
         return ranked(hits, k)
+
+    @staticmethod
+    def _in_blocks(
+        held: DataFrame, weighted: DataFrame, k: int, avgdl: float, k1: float, b: float
+    ) -> DataFrame:
+        rows = held.select("id", "term", "tf", "dl", "category", "product")
+        asked = weighted.groupBy("query_id", "category", "product").agg(
+            F.collect_list(F.struct("term", "idf")).alias("terms")
+        )
+        # put together again as one row per chunk, which the blocked search scores
+        chunk = rows.groupBy("id").agg(
+            F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tf"), F.first("dl").alias("dl"),
+            F.first("category").alias("category"), F.first("product").alias("product"),
+        )
+        chunk = materialise(chunk, "chunk-terms")
+
+        def scorer(block: list) -> Callable[[pa.RecordBatch], np.ndarray]:
+            weights = Weights([(q[0], q[1]) for q in block])
+            filters = Filters(block)
+
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), size)
+                tf = batch.column(2).flatten().to_numpy().astype(np.float64)
+                dl = batch.column(3).to_numpy()[row]
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                out = weights.scores(batch.column(1).flatten(), row, part, batch.num_rows)
+                return filters.masked(out, batch, 4)
+
+            return score
+
+        ordered = chunk.select("id", "terms", "tf", "dl", "category", "product")
+        return search(ordered, asked, ["query_id", "terms", "category", "product"], scorer, k)

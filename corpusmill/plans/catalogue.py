@@ -16,8 +16,9 @@ from corpusmill.operators import catalog, dense_index, evaluate, ingest, mining,
 from corpusmill.operators.chunking import ChunkOptions, chunk_documents
 from corpusmill.operators.retrieval import SearchOptions
 from corpusmill.operators.sections import split_sections, stamp_pages
-from corpusmill.session import materialise
+from corpusmill.session import materialise, scratch
 from corpusmill.sources import files
+from corpusmill.sources.store import Store
 from corpusmill.sources.tables import table
 
 QUERIES: dict = {}
@@ -282,12 +283,13 @@ def _bench_queries(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_index_topk(spark: SparkSession, folder: str) -> DataFrame:
     """All evaluation items from an inverted index, which is written in two
     segments: all chunks, then those of one category over again."""
-    chunks = chunk_table(spark, folder)
-    again = materialise(chunks.where("category = 'manual'"), "again")
-    first = sparse_index.changes(chunks, None, text.lower_tokens, 1)
-    second = sparse_index.changes(again, again, text.lower_tokens, 2)
-    tables = {t: materialise(first[t].unionByName(second[t]), t) for t in sparse_index.TABLES}
-    return sparse_index.SparseIndex.of(tables).topk(_bench_queries(spark, folder), 10, text.lower_tokens)
+    chunks = materialise(chunk_table(spark, folder), "chunks")
+    again = chunks.where("category = 'manual'")
+    store = Store(spark, scratch(spark, "index"))
+    store.commit(append=sparse_index.changes(chunks, None, text.lower_tokens, 1))
+    store.commit(append=sparse_index.changes(again, again, text.lower_tokens, 2))
+    index = sparse_index.SparseIndex(store.read)
+    return index.topk(_bench_queries(spark, folder), 10, text.lower_tokens)
 
 
 @query()

@@ -90,6 +90,13 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -99,9 +106,8 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     earlier by :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    atexit.register(_delete_quietly, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._corpusmill_path = path
     return back

@@ -185,6 +185,16 @@ _RESULT = """
     from (select *, count(*) over (partition by query_id) as n from cut) c
     join ct on ct.id = c.chunk_id where fused_rank <= 10"""
 
+def _annotated_sql(c: str) -> str:
+    """Each acronym explained where it first stands as a token of its own."""
+    for short, meaning in ACRONYMS.items():
+        c = (
+            f"regexp_replace({c}, '(^-*|[^\\w-]-*)({short})(-*$|-*[^\\w-])', "
+            f"'\\1\\2 ({meaning})\\3', 'i')"
+        )
+    return c
+
+
 # ---------------------------------------------------------------- dense and sparse
 
 
@@ -266,6 +276,16 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25_topk(chunk_table(spark, folder), mined(spark, folder), 50, text.lower_tokens)
 
 
+@query(
+    f"with {_K}, {_MQ.replace('mq as', 'plain as', 1)}, "
+    f"mq as (select * replace ({_annotated_sql('text')} as text) from plain), {_sparse_sql(k=10)} select * from sparse"
+)
+def bm25_annotated_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The mined queries with their acronyms explained, as a search takes them."""
+    asked = mined(spark, folder).withColumn("text", annotated(F.col("text")))
+    return retrieval.bm25_topk(chunk_table(spark, folder), asked, 10, text.lower_tokens)
+
+
 def _bench_queries(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None).cast("string")
     asked = table(spark, folder, "bench_items").groupBy(F.col("item_id").alias("query_id")).agg(
@@ -443,16 +463,6 @@ def query_texts(spark: SparkSession, folder: str) -> DataFrame:
     return mined(spark, folder).select("query_id", query_variants(F.col("text")).alias("variants"))
 
 
-def _annotated_sql(c: str) -> str:
-    """Each acronym explained where it first stands as a token of its own."""
-    for short, meaning in ACRONYMS.items():
-        c = (
-            f"regexp_replace({c}, '(^-*|[^\\w-]-*)({short})(-*$|-*[^\\w-])', "
-            f"'\\1\\2 ({meaning})\\3', 'i')"
-        )
-    return c
-
-
 @query(f"with {_K}, {_MQ} select query_id, {_annotated_sql('text')} as text from mq")
 def query_annotations(spark: SparkSession, folder: str) -> DataFrame:
     return mined(spark, folder).select("query_id", annotated(F.col("text")).alias("text"))
@@ -801,6 +811,62 @@ def upsert_latest_wins(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.upserted(old, new)
 
 
+@query(
+    f"""with {_LATEST} select id, pdf_sha256, 'catalog' as origin from latest where lower(category) = 'toi'
+    union all select id, pdf_sha256, 'stored' from documents
+    where id not in (select id from latest where lower(category) = 'toi') and product is not null"""
+)
+def store_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written to a store; then those of the catalog in place of
+    theirs, and those without product deleted, in one version."""
+    new = ingest.in_category(_entries(spark, folder), "TOI").select(
+        "id", "pdf_sha256", F.lit("catalog").alias("origin")
+    )
+    old = table(spark, folder, "documents")
+    store = Store(spark, scratch(spark, "store"))
+    store.commit(upsert={"documents": (old.select("id", "pdf_sha256", F.lit("stored").alias("origin")), old.select("id").limit(0))})
+    store.commit(upsert={"documents": (new, old.where("product is null").select("id"))})
+    return store.read("documents")
+
+
+@query(
+    """select generated_at, id, title, product, tags, pages, size_bytes, converted_at
+    from catalog_entries where id is not null"""
+)
+def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog written as its JSON file, one per delivery, and read back.
+
+    A file is one row by its format, as large as one delivery of a catalog.
+    """
+    path = scratch(spark, "catalog")
+    entry = F.struct("id", "title", "product", "tags", "pages", "size_bytes", "converted_at")
+    utc = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rows = table(spark, folder, "catalog_entries").where("id is not null")
+    rows.groupBy("generated_at").agg(F.collect_list(entry).alias("documents")).select(
+        F.to_json(F.struct("generated_at", "documents"), utc)
+    ).write.option("maxRecordsPerFile", 1).text(path)
+    read = files.read_catalog(spark, path)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return read.select(
+        ntz("generated_at"), "id", "title", "product", "tags", "pages", "size_bytes", ntz("converted_at")
+    )
+
+
+@query(
+    """select 2 as version, cast(row_number() over (order by item_id) - 1 as bigint) as query_id, query,
+        expect_any, expect_product, [item_id] as expect_any_of_chunk_ids from bench_items"""
+)
+def query_set_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation items (300 at every scale) as a query-set file, read back."""
+    path = scratch(spark, "queries")
+    item = F.struct("item_id", "query", "expect_any", "expect_product", F.array("item_id").alias("expect_any_of_chunk_ids"))
+    held = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("item_id"))
+    table(spark, folder, "bench_items").agg(held.alias("queries")).select(
+        F.to_json(F.struct(F.lit(2).alias("version"), "queries"))
+    ).write.text(path)
+    return files.read_query_set(spark, path)
+
+
 @query(
     f"""with {_LATEST}, gone as (select id from documents
         where id not in (select id from latest where lower(category) = 'toi'))

@@ -60,8 +60,11 @@ class Store:
         n = self.current() if number is None else number
         if n is None:
             return None
-        text = self.spark.read.text(f"{self.root}/version-{n}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        stream = self._fs().open(self._path(f"{self.root}/version-{n}.json"))  # no job for one small file
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _frame(self, held: dict) -> DataFrame | None:
         paths = [f"{self.root}/{p}" for p in held["paths"]]

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.session import materialise
+
 #: Masks of at most MIN_RUN words: a run of MIN_RUN equal words hits each of them.
 MASKS = ("110101101011", "11101001011")
 MIN_RUN = 12
@@ -196,13 +198,16 @@ def overlaps(
     wanted = items.select(
         F.col(item_key).cast("bigint").alias("item_id"), F.col(item_text).alias("text")
     ).where("item_id is not null and text is not null")
+    passes = 0
     for row in wanted.distinct().orderBy("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
         if len(words) < MIN_RUN:
             continue
         if block and size + len(words) > block_words:
             out = scan(block) if out is None else out.unionByName(scan(block))
-            block, size = [], 0
+            block, size, passes = [], 0, passes + 1
+            if passes % 16 == 0:  # many blocks: keep the plan short
+                out = materialise(out, "p7-overlaps")
         block.append((row["item_id"], words))
         size += len(words)
     if block or out is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.llm import (
     bpe,
@@ -77,6 +77,28 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
 
+def p5_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text that was cut, put together again from its pieces: the words
+    without the overlaps, and whether all pieces keep to the limits."""
+    pieces = splitting.split_oversized(table(spark, folder, "chunks"))
+    words = F.regexp_extract_all("piece", F.lit(r"\S+"), F.lit(0))
+    own = F.slice(words, F.floor(F.col("overlap_tokens") * 10 / 13).cast("int") + 1, F.size(words))
+    held = F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own"))))
+    return (
+        pieces.groupBy("id")
+        .agg(
+            held.alias("held"),
+            (F.max("piece_tokens") <= splitting.MAX_TOKENS).alias("within_limit"),
+            (F.max("overlap_tokens") <= splitting.OVERLAP_TOKENS).alias("within_overlap"),
+        )
+        .withColumn("w", F.flatten("held.own"))
+        .select(
+            "id", F.size("w").alias("words"), F.md5(F.array_join("w", " ")).alias("words_md5"),
+            "within_limit", "within_overlap",
+        )
+    )
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"))
 
@@ -109,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_text, p2_found, p2_classes, p3_found, p3_clean, p3_blocks, p4_found, p4_nearest, p4_recall,
-        p5_found, p5_pieces, p6_ids, p7_found, p7_items,
+        p5_found, p5_pieces, p5_rebuilt, p6_ids, p7_found, p7_items,
         p8_found, p8_sources, p8_limits,
     )
 }
@@ -179,6 +201,12 @@ ORACLE = {
             select q.id, vec.id as neighbour, round(list_cosine_similarity(q.v, vec.v), 6) as similarity
             from vec q, vec where q.id % 50 = 0 and q.model = vec.model and q.id <> vec.id))
         where place <= 10""",
+    "p4_recall": f"""with {_VECTORS}, near as (
+            select q.id, vec.id as neighbour, round(list_cosine_similarity(q.v, vec.v), 6) as s
+            from vec q, vec where q.id % 50 = 0 and q.model = vec.model and q.id <> vec.id
+            qualify row_number() over (partition by q.id order by s desc, neighbour) <= 10)
+        select round(least(floor(s * 50 + 1e-9), 49) / 50, 2) as band, count(*) as exact,
+            count(*) as found, 1.0::double as recall from near where s >= 0.9 group by 1""",
     "p3_found": _P3
     + """ select id, cast(line_no as int) as line_no from keyed join src using (document_id)
         join hot using (source, k)""",
@@ -231,6 +259,11 @@ ORACLE = {
         best as (select max(upper) as most from r where upper <= ln(0.01 * rank / m))
         select source, unit, length::bigint as length, texts, reached::bigint as reached, round(expected, 6) as expected
         from p, best where log_p <= most""",
+    "p5_rebuilt": f"with {_LEAVES}" + r""",
+        w as (select id, regexp_extract_all(content, '\S+') as w from leaf)
+        select id, cast(len(w) as int) as words, md5(array_to_string(w, ' ')) as words_md5,
+            true as within_limit, true as within_overlap
+        from w where (13 * len(w) + 9) // 10 > 1200""",
     "p7_found": r"""
         with w as (
             select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),

@@ -43,8 +43,9 @@ SLACK, WORDS = 3.5, 4
 SAMPLE = 8192
 #: Models that get rotations of their own, the others share random ones.
 MODELS = 64
-#: The rows of buckets beyond this size are searched exactly instead.
-HOT = 16384
+#: Buckets beyond HOT rows, or with more near pairs than CROWD for each row, are
+#: not listed: their rows are searched exactly instead.
+HOT, CROWD = 16384, 64
 K, LEAST = 10, 0.9
 _BLOCK = 1024
 
@@ -244,19 +245,25 @@ class _Buckets:
     """Rows sorted by key, own ones first, in; candidate pairs out.
 
     Holds at most HOT own rows of a bucket; probes pass by in blocks. A bucket
-    with more gives one row ``(key, key, true)`` and no pairs.
+    with more rows, or with more near pairs than CROWD for each, gives one row
+    ``(key, key, true)`` and no further pairs.
     """
 
     def __init__(self, radii: tuple[int, int]):
         self.radii, self.key = radii, None
         self.ids, self.codes, self.hot = np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64), False
+        self.pairs = 0
         self.out: list[tuple[np.ndarray, np.ndarray, bool]] = []
 
     def _near(self, ids: np.ndarray, codes: np.ndarray, other: np.ndarray, codes_of: np.ndarray, below: bool) -> None:
         half = WORDS // 2
+        most = CROWD * (len(self.ids) + _BLOCK)
         for i in range(0, len(ids), _BLOCK):
             a = codes[i : i + _BLOCK]
             for j in range(i if below else 0, len(other), _BLOCK):
+                if self.pairs > most:
+                    self._give_up()
+                    return
                 b = codes_of[j : j + _BLOCK]
                 d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
                 for k in range(1, half):
@@ -267,12 +274,18 @@ class _Buckets:
                 rest = np.bitwise_count(a[x, half:] ^ b[y, half:]).sum(1, dtype=np.int64)
                 near = d[x, y] + rest <= self.radii[1]
                 if near.any():
+                    self.pairs += np.count_nonzero(near)
                     p, q = ids[i + x[near]], other[j + y[near]]
                     self.out.append((np.minimum(p, q), np.maximum(p, q), False))
 
+    def _give_up(self) -> None:
+        if not self.hot:
+            self.hot = True
+            self.out.append((np.array([self.key]), np.array([self.key]), True))
+
     def add(self, key: int, probe: bool, ids: np.ndarray, codes: np.ndarray) -> None:
         if key != self.key:
-            self.key, self.hot = key, False
+            self.key, self.hot, self.pairs = key, False, 0
             self.ids, self.codes = ids[:0], codes[:0]
         if self.hot:
             return
@@ -281,8 +294,7 @@ class _Buckets:
                 self._near(ids, codes, self.ids, self.codes, False)
             return
         if len(self.ids) + len(ids) > HOT:
-            self.hot = True
-            self.out.append((np.array([key]), np.array([key]), True))
+            self._give_up()
             return
         # own rows that were there before meet the new ones, and these one another
         if len(self.ids):
@@ -356,9 +368,9 @@ def similar_pairs(coded: DataFrame, plan: Plan, least: float = LEAST, k: int = K
     """``(a, b, similarity)`` of distinct vectors with at least ``least``.
 
     A dense region, even one with a third of all rows, would fill buckets whose
-    pairs no task can list. What meets in a bucket beyond HOT is searched
-    exactly instead, the rows of such buckets among themselves, in blocks, for
-    the ``k`` best of each; nothing is dropped.
+    pairs no task can list. What meets in a bucket beyond HOT or CROWD is
+    searched exactly instead, the rows of such buckets among themselves, in
+    blocks, for the ``k`` best of each; nothing is dropped.
     """
     index = _index(coded, plan)
     found = materialise(

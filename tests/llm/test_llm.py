@@ -385,9 +385,10 @@ def test_plan_keeps_the_chance_of_a_miss():
         assert 128 * p < plan.radii[0] < 64 and 256 * p < plan.radii[1] < 128
 
 
-def test_hot_vectors(spark, monkeypatch):
-    """A third of all vectors are equal, a third nearly so; buckets are refined."""
-    monkeypatch.setattr(vector_neighbours, "HOT", 50)
+@pytest.mark.parametrize(("name", "value"), [("HOT", 50), ("CROWD", 0.001)])
+def test_hot_vectors(spark, monkeypatch, name, value):
+    """A third of all vectors are equal, a third nearly so; crowds are searched exactly."""
+    monkeypatch.setattr(vector_neighbours, name, value)
     rng = np.random.default_rng(4)
     base, near = rng.normal(size=64), rng.normal(size=64)
     rows = [chunk(k, "t", embedding=base.tolist(), embedding_model="m") for k in range(300)]

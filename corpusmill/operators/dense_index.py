@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.operators.retrieval import DIGITS, Filters, usable_vector
-from corpusmill.operators.topk import in_blocks, search
+from corpusmill.operators.topk import QUERY_BLOCK, in_blocks, search
 
 #: Vectors that the centroids are learned from at most; the index has all.
 SAMPLE = 65_536
@@ -101,10 +101,16 @@ class DenseIndex:
         columns = ["query_id", "embedding", "category", "product"]
         near = lambda q: np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
         cells: set[int] = set()
-        for block in in_blocks(asked, columns):
-            cells |= set(near(_unit(np.array([r[1] for r in block]))).ravel().tolist())
+        read = in_blocks(asked, columns)
+        first = next(read, [])
+        blocks = [first] if len(first) < QUERY_BLOCK else None  # few queries are read once
+        for block in (first, *(read if blocks is None else ())):
+            if block:
+                cells |= set(near(_unit(np.array([r[1] for r in block]))).ravel().tolist())
             if len(cells) > len(centres) // 2:
                 break
+        if blocks == [[]]:
+            blocks = []
         spark = queries.sparkSession
         rows = self.read(None)
         if len(cells) <= len(centres) // 2:
@@ -132,4 +138,5 @@ class DenseIndex:
 
             return score
 
-        return search(rows.select("id", "v", "category", "product", "cell"), asked, columns, scorer, k)
+        held = rows.select("id", "v", "category", "product", "cell")
+        return search(held, asked, columns, scorer, k, blocks=blocks)

@@ -120,10 +120,14 @@ class SparseIndex:
             "query_id", "category", "product", F.array_distinct(tokens(F.col("text"))).alias("terms")
         )
         split = asked.select("query_id", "category", "product", F.explode("terms").alias("term"))
-        terms = materialise(split.select("term").distinct(), "terms")
+        terms = split.select("term").distinct()
+        named = [r[0] for r in terms.limit(MOST_NAMED + 1).collect()]
+        if len(named) <= MOST_NAMED:
+            terms = queries.sparkSession.createDataFrame([(t,) for t in named], "term string")
+        else:
+            terms = materialise(terms, "terms")
         stats = self.read("stats", None).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
         n, avgdl = stats["n"] or 0, (stats["total"] or 0) / max(stats["n"] or 0, 1) or 1.0
-        named = [r[0] for r in terms.limit(MOST_NAMED + 1).collect()]
 
         def of_terms(table: str) -> DataFrame:
             rows = self.read(table, terms)

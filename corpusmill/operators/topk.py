@@ -8,7 +8,7 @@ queries, and the rows themselves are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -89,15 +89,20 @@ def search(
     scorer: Callable[[list], Callable[[pa.RecordBatch], np.ndarray]],
     k: int,
     block: int = QUERY_BLOCK,
+    blocks: Iterable[list] | None = None,
 ) -> DataFrame:
     """Best ``k`` of ``rows`` (first column: the id) for every query.
 
+    ``blocks``: the queries' rows, where the caller has read them already.
+
     ``scorer(block of queries)`` runs once per task and gives a function from
     a batch of rows to the scores, queries x rows. No queries, no rows.
     """
     spark = rows.sparkSession
     out: DataFrame | None = None
-    for number, part in enumerate(in_blocks(queries, query_columns, block)):
+    if blocks is None:
+        blocks = in_blocks(queries, query_columns, block)
+    for number, part in enumerate(blocks):
         if number and number % 16 == 0:  # many blocks: keep the plan short
             out = materialise(out, "hits")
         sent = spark.sparkContext.broadcast(part)

@@ -35,6 +35,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self.jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._asked: tuple[DataFrame, set[int]] | None = None
         self.buckets = (self._manifest() or {}).get("buckets", buckets)
 
     def _path(self, text: str):
@@ -87,8 +88,11 @@ class Store:
 
     def _buckets(self, keys: DataFrame) -> set[int]:
         """The buckets of ``keys``; at most as many as the store has."""
+        if self._asked is not None and self._asked[0] is keys:
+            return self._asked[1]
         number = self.bucket(F.col(keys.columns[0]))
-        return {r[0] for r in keys.select(number).distinct().collect()}
+        self._asked = keys, {r[0] for r in keys.select(number).distinct().collect()}
+        return self._asked[1]
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")

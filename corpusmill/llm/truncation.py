@@ -250,9 +250,10 @@ def limits(endings: DataFrame) -> DataFrame:
     return tested.crossJoin(F.broadcast(bins)).where(F.col("log_p") <= F.col("most")).drop("most")
 
 
-def _set_ones(evidence: DataFrame, sites: DataFrame, share: float) -> DataFrame:
+def _set_ones(evidence: DataFrame, sketches: DataFrame, sites: DataFrame, share: float) -> DataFrame:
     """``key`` of what stands in REPEATED_IN different texts of a site and in
-    ``share`` of its texts. ``evidence``: (site, key, same, sketch).
+    ``share`` of its texts. ``evidence``: (site, key, same), ``sketches``: (same,
+    sketch), which join only what stands often enough.
 
     Exact copies count once. A text that has SHARED minimum hashes in common
     with c texts of the same key counts 1 / c, so versions of one text count
@@ -268,7 +269,9 @@ def _set_ones(evidence: DataFrame, sites: DataFrame, share: float) -> DataFrame:
         .select("site", "key")
     )
     places = materialise(
-        texts.join(often, ["site", "key"]).select("site", "key", "same", F.posexplode("sketch").alias("p", "h")),
+        texts.join(often, ["site", "key"])
+        .join(sketches, "same")
+        .select("site", "key", "same", F.posexplode("sketch").alias("p", "h")),
         "p8-places",
     )
     crowd = places.groupBy("site", "key", "p", "h").agg(F.count("*").alias("c"))
@@ -331,22 +334,21 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     tails = doubtful.select("doc_id", F.explode("tails").alias("key"))
     evidence = (
-        found.select("site", "same", "sketch", F.explode("lines").alias("key"))
-        .unionByName(
-            off_limits.where("kind <> 'sign'").select("site", "same", "sketch", F.explode("tails").alias("key"))
-        )
+        found.select("site", "same", F.explode("lines").alias("key"))
+        .unionByName(off_limits.where("kind <> 'sign'").select("site", "same", F.explode("tails").alias("key")))
         .join(tails.select("key").distinct(), "key", "left_semi")
     )
-    set_lines = materialise(_set_ones(evidence, sites, SHARE), "p8-lines")
+    sketches = found.select("same", "sketch").dropDuplicates(["same"])
+    set_lines = materialise(_set_ones(evidence, sketches, sites, SHARE), "p8-lines")
     by_line = tails.join(set_lines, "key", "left_semi").select("doc_id").distinct()
     holes = doubtful.select("doc_id", F.explode("holes").alias("hole"))
     set_holes = holes.join(by_line, "doc_id", "left_semi").select("hole").distinct()
     by_hole = holes.join(set_holes, "hole", "left_semi").select("doc_id").distinct()
     phrases = doubtful.where("phrase is not null").select("doc_id", F.col("phrase").alias("key"))
     said = off_limits.where("phrase is not null").select(
-        F.lit("").alias("site"), "same", "sketch", F.col("phrase").alias("key")
+        F.lit("").alias("site"), "same", F.col("phrase").alias("key")
     )
-    by_phrase = phrases.join(_set_ones(said, everywhere, PHRASE_SHARE), "key", "left_semi").select("doc_id")
+    by_phrase = phrases.join(_set_ones(said, sketches, everywhere, PHRASE_SHARE), "key", "left_semi").select("doc_id")
     set_line = by_line.withColumn("set_line", F.lit(True))
     like_one = by_hole.withColumn("like_one", F.lit(True))
     set_phrase = by_phrase.distinct().withColumn("set_phrase", F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions.text import approx_tokens, prefixed, trim_all, words, words_of_tokens
 
-#: What stands between the head and the tail of a shortened parent.
+#: Fixed value: what stands between the head and the tail of a shortened parent.
 CONTINUES = "\n\n[…section continues…]\n\n"
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Opening of the title that converters give to placeholder documents.
+#: Opening of the title that converters give to placeholder documents, and
+#: the fewest characters of a body.
 PLACEHOLDER = "Fake conversion of"
 LEAST_CHARACTERS = 40
 
